@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, media, tokencount
+from pagemill.llm import bpe, language, media, packing, tokencount
 from pagemill.llm.common import small_batches, table
 
 
@@ -14,11 +14,21 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_text(table(spark, sf_dir, "documents", "doc_id", "text"), keep_media=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
@@ -26,7 +36,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_media": op2_media,
+    "op3_language": op3_language,
     "op5_token_counts": op5_token_counts,
+    "op7_packing": op7_packing,
     "op9_bpe": op9_bpe,
 }
 
