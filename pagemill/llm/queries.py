@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, language, media, packing, tokencount
+from pagemill.llm import bpe, extract, language, media, packing, tokencount
 from pagemill.llm.common import small_batches, table
 
 
@@ -29,6 +29,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
@@ -39,6 +44,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_token_counts": op5_token_counts,
     "op7_packing": op7_packing,
+    "op8_main_text": op8_main_text,
     "op9_bpe": op9_bpe,
 }
 
