@@ -98,3 +98,71 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[0] = s[0]
     out[e[:-1]] = s[1:] - (s[:-1] + lengths[keep][:-1] - 1)
     return np.cumsum(out)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of consecutive rows that agree in the first ``keys`` columns (integers without nulls).
+
+    With rows partitioned and sorted by those columns this is a group-by without a Python call per group's batch.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(n, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def partitions_for(df_bytes: int, target: int = 64_000_000) -> int:
+    """Partitions that keep each near ``target`` bytes."""
+    return max(1, -(-df_bytes // target))
+
+
+def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+    """(node, component) of every node of undirected edges (u, v); component is its smallest reachable node.
+
+    Alternating large-star and small-star steps on the whole edge list, each a grouped minimum (combined before
+    the shuffle) and a join that AQE can split where a hub has most edges; each round is written to the shared
+    folder. Self-loops keep a lone node in the result.
+    """
+    spark = edges.sparkSession
+    pairs = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    state = None
+    for k in range(rounds):
+        both = pairs.where("u != v")
+        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a node whose neighbours are all smaller keeps its link to the least of them
+        large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        pairs_next = materialise(small, f"{name}-{k + 1}")
+        now = pairs_next.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        loops = pairs.where("u == v") if k == 0 else loops
+        pairs = pairs_next
+        if (now.n, now.h) == state:
+            break
+        state = (now.n, now.h)
+    else:
+        raise RuntimeError("connected components did not settle")
+    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return found.unionByName(loops.select(F.col("u").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

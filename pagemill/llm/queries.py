@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, extract, language, media, packing, tokencount
+from pagemill.llm import bpe, extract, language, media, packing, tokencount, vectors
 from pagemill.llm.common import small_batches, table
 
 
@@ -24,6 +24,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_language": op3_language,
     "op5_token_counts": op5_token_counts,
+    "op6_near_vectors": op6_near_vectors,
     "op7_packing": op7_packing,
     "op8_main_text": op8_main_text,
     "op9_bpe": op9_bpe,
