@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, extract, language, media, packing, tokencount, vectors
+from pagemill.llm import bpe, extract, language, media, packing, suffixarray, tokencount, vectors
 from pagemill.llm.common import small_batches, table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixarray.dedup_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return media.store_text(table(spark, sf_dir, "documents", "doc_id", "text"), keep_media=False)
@@ -44,6 +49,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_media": op2_media,
     "op3_language": op3_language,
     "op5_token_counts": op5_token_counts,
