@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, extract, language, media, packing, suffixarray, tokencount, vectors
+from pagemill.llm import bpe, extract, language, media, packing, suffixarray, suffixtree, tokencount, vectors
 from pagemill.llm.common import small_batches, table
 
 
@@ -48,6 +48,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return suffixtree.dedup_words(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_media": op2_media,
@@ -57,6 +62,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_main_text": op8_main_text,
     "op9_bpe": op9_bpe,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
