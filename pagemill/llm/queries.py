@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import bpe, extract, language, media, packing, suffixarray, suffixtree, tokencount, vectors
+from pagemill.llm import bpe, extract, jaccard, language, media, packing, suffixarray, suffixtree, tokencount, vectors
 from pagemill.llm.common import small_batches, table
 
 
@@ -24,6 +24,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_media": op2_media,
     "op3_language": op3_language,
+    "op4_jaccard": op4_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_near_vectors": op6_near_vectors,
     "op7_packing": op7_packing,
