@@ -19,13 +19,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import input_bytes, materialise, mix, pieces, ragged, runs
 
 BASE1, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-FLUSH, STEP = 150_000, 1_000_000
+FLUSH, STEP = 150_000, 400_000
 NO_ID = -(2**63)
 
 
@@ -143,16 +143,20 @@ def find_anchors(letters: np.ndarray, bounds: np.ndarray, lengths: np.ndarray |
 # ---------------------------------------------------------------- packed exchange
 
 _FIELDS = (("f", np.uint64), ("e", np.uint64), ("id", np.int64), ("tag", np.int32), ("pos", np.int64), ("back", np.int32), ("ahead", np.int32), ("marker", np.uint8))
+#: Hashes travel in 48 bits: a setting is told from others by 96 bits, and a core's chance namesake only costs a look.
+HASH = np.uint64((1 << 48) - 1)
 OCCURRENCES = "f long, e long, id long, tag int, pos long, back int, ahead int"
 
 
 def _pack(cols: dict[str, np.ndarray]) -> bytes:
     """Columns one after the other, each by byte planes: the high bytes of small numbers then compress to nothing."""
     n = len(cols["f"])
-    return b"".join(np.ascontiguousarray(cols[k].astype(t).view(np.uint8).reshape(n, -1).T).tobytes() for k, t in _FIELDS)
+    raw = b"".join(np.ascontiguousarray(cols[k].astype(t).view(np.uint8).reshape(n, -1).T).tobytes() for k, t in _FIELDS)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(raw: bytes) -> dict[str, np.ndarray]:
+def _unpack(packed: bytes) -> dict[str, np.ndarray]:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     width = sum(np.dtype(t).itemsize for _, t in _FIELDS)
     n, at, out = len(raw) // width, 0, {}
     for k, t in _FIELDS:
@@ -205,7 +209,7 @@ def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int) -> Iterat
             if not len(text):
                 continue
             ids, tags = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-            parts.append({"f": f, "e": e, "id": ids[text], "tag": tags[text], "pos": p - bounds[text], "back": p - low, "ahead": high - p, "marker": np.zeros(len(f), np.uint8)})
+            parts.append({"f": f & HASH, "e": e & HASH, "id": ids[text], "tag": tags[text], "pos": p - bounds[text], "back": p - low, "ahead": high - p, "marker": np.zeros(len(f), np.uint8)})
             held += len(f)
             if held >= FLUSH:
                 yield from rows()
@@ -242,16 +246,27 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from emit(c, np.flatnonzero(keep & (c["marker"] == 0)))
 
 
+def checksum(text: Column) -> Column:
+    return (F.crc32(text.cast("binary")) % 65536).cast("int")
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id (a null one as the least long), text and tag: a checksum that tells rows of one id apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), (F.crc32(text.cast("binary")) - 2**31).cast("int").alias("tag"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), checksum(text).alias("tag"))
+
+
+def keyed_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """``keyed`` with the named columns beside it, as one struct so that no names clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), checksum(text).alias("tag"))
 
 
 def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
     """Every anchor whose core occurs more than once; pos, back and ahead in units of its text."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // 16_000_000))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // 4_000_000))
     sent = docs.mapInArrow(lambda it: _send(it, unit, buckets), "bucket int, direct boolean, packed binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_repeated, OCCURRENCES)
@@ -289,24 +304,19 @@ def spans(docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame], DataFrame]
     ``earlier_only`` keeps spans whose window has a smaller id elsewhere; otherwise any repeat counts.
     """
     found = materialise(occurrences(docs, unit), "occurrences")
-    cores = found.groupBy("f").agg(F.min("e").alias("e0"), F.max("e").alias("e1"), F.min("id").alias("least"))
-    cores = materialise(cores, "cores")
-    pure, mixed = cores.where("e0 = e1").select("f", "least"), cores.where("e0 != e1").select("f")
-    start, end = F.col("pos") - F.col("back"), F.col("pos") + F.col("ahead") + unit.size
-    same = found.join(pure, "f")
-    same = (same.where("id > least") if earlier_only else same).select("id", "tag", start.alias("s"), end.alias("e"))
-    various = found.join(mixed, "f")
+    # first by core and setting, which the map side combines, so that a frequent core's occurrences never meet in one task
     first = [F.first(c).alias(c) for c in ("id", "tag", "pos", "back", "ahead")]
-    classes = various.groupBy("f", "e").agg(F.count("*").alias("copies"), F.min("id").alias("least"), *first)
-    classes = materialise(classes, "classes")
-    rivals = classes.groupBy("f").agg(F.count("*").alias("rivals"))
-    wanted = classes.join(rivals, "f").groupBy("id", "tag").agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
+    classes = materialise(found.groupBy("f", "e").agg(F.count("*").alias("copies"), F.min("id").alias("least"), *first), "classes")
+    classes = classes.join(classes.groupBy("f").agg(F.count("*").alias("rivals")), "f")
+    wanted = classes.where("rivals > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
     cut = docs.join(wanted, ["id", "tag"]).select("id", "text", "wanted").mapInArrow(lambda it: _snippets(it, unit), SNIPPETS)
     resolved = materialise(resolve(cut), "resolved")
-    hit = various.join(resolved, ["f", "e"]).select("id", "tag", "pos", F.explode("windows").alias("w"))
+    whole = F.array(F.struct((-F.col("back")).alias("first"), F.col("ahead").alias("last"), "least"))
+    told = classes.where("rivals = 1").select("f", "e", whole.alias("windows")).unionByName(resolved)
+    hit = found.select("f", "e", "id", "tag", "pos").join(told, ["f", "e"]).select("id", "tag", "pos", F.explode("windows").alias("w"))
     hit = (hit.where("id > w.least") if earlier_only else hit).select("id", "tag", (F.col("pos") + F.col("w.first")).alias("s"), (F.col("pos") + F.col("w.last") + unit.size).alias("e"))
     # the ranges of one text: no more than its length has room for
-    return same.unionByName(hit).groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return hit.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 WINDOWS = "f long, e long, windows array<struct<first:int,last:int,least:long>>"

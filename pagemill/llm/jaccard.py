@@ -23,7 +23,7 @@ from pagemill.llm.common import components, input_bytes, materialise, mix, piece
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
 #: Counters of the frequency sketch, bits of a set's bitmap, members of a tile, shingles of a verification chunk.
-COUNTERS, BITS, TILE, CHUNK, STEP = 1 << 20, 1024, 1024, 400_000, 1_000_000
+COUNTERS, BITS, TILE, CHUNK, STEP = 1 << 20, 1024, 1024, 400_000, 400_000
 #: A counter is frequent from this share of a task's documents on; more than 2^20 shingles can't reach it by chance.
 FREQUENT = 0.002
 
@@ -297,3 +297,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows, all columns as they are, of the smallest id of each group of linked texts; one row an id."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    groups = jaccard_join(df, id_col, text_col, width, threshold)
+    kept = groups.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, merge, spans
+from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, keyed_rows, merge, spans
 from pagemill.llm.common import STEP_BYTES, ragged, runs
 
 LENGTH, REACH = 200, 128
 #: Cores with more settings than this are compared window by window through a grouped count instead of one array.
-RIVALS, BATCH = 1024, 1_500_000
+RIVALS, BATCH = 1024, 400_000
 
 
 def build(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -164,15 +165,19 @@ def repeats_of_groups(groups: list[list[bytes]], length: int = LENGTH) -> list[l
     ranks = sa[whole[sa]]
     string = np.searchsorted(bounds, ranks, side="right")
     same = np.zeros(len(ranks) + 1, bool)
-    symbols8 = symbols.astype(np.uint16)
-    offsets = np.arange(length)
+    # windows are inside snippets, so eight bytes at a time can be compared, the last eight overlapping
+    raw = np.zeros(len(symbols) + 8, np.uint8)
+    raw[ragged(base[:-1], lens)] = text
+    eight = np.ndarray((len(symbols) + 1,), "<u8", raw, strides=(1,)) if length >= 8 else raw
+    step = 8 if length >= 8 else 1
+    offsets = np.append(np.arange(0, length - step, step), length - step)
     for k in range(0, max(len(ranks) - 1, 0), 20_000):
         a, b = ranks[k : k + 20_000], ranks[k + 1 : k + 20_001]
         a = a[: len(b)]
         near = string[k : k + len(a)] == string[k + 1 : k + 1 + len(a)]
-        near &= symbols8[a] == symbols8[b]
+        near &= eight[a] == eight[b]
         own = np.flatnonzero(near)
-        equal = (symbols8[a[own][:, None] + offsets] == symbols8[b[own][:, None] + offsets]).all(axis=1)
+        equal = (eight[a[own][:, None] + offsets] == eight[b[own][:, None] + offsets]).all(axis=1)
         same[k + 1 + own] = equal
     hit = np.sort(ranks[same[1:] | same[:-1]])
     cuts = np.searchsorted(hit, base)
@@ -289,3 +294,25 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
     return docs.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, keep_text), schema)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
+            raw = text.as_py().encode("utf-8")
+            s, e = merge(ranges.values.field("s").to_numpy(), ranges.values.field("e").to_numpy()) if ranges.is_valid else ([], [])
+            kept.append(b"".join(raw[a:b] for a, b in zip([0, *e], [*s, len(raw)], strict=True)).decode("utf-8", "ignore"))
+        yield pa.record_batch([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows with all their columns, ``text_col`` without its repeated bytes (see ``dedup_bytes``); a null text becomes empty."""
+    unit = Unit(words=False, size=length, reach=max(1, min(REACH, length * 16 // 25)))
+    docs = keyed(df, id_col, text_col)
+    rest = [c for c in df.columns if c != text_col]
+    rows = keyed_rows(df, rest, id_col, text_col)
+    found = rows.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("row", "text", "spans")
+    schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("kept", T.StringType())])
+    cut = found.mapInArrow(_cut, schema)
+    return cut.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])
