@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +93,13 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
-def letters_of(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """A 64-bit letter for each unit, the texts' bounds in units, and for words their lengths in bytes."""
+def letters_of(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit letter for each unit, and the texts' bounds in units."""
     letters = _BYTES[data]
     if not unit.words:
-        return letters, offsets, None
+        return letters, offsets
     start, end, bounds = word_bounds(data, offsets)
-    return Sums(letters, BASE2).of(start, end) ^ mix((end - start).astype(np.uint64)), bounds, end - start
+    return Sums(letters, BASE2).of(start, end) ^ mix((end - start).astype(np.uint64)), bounds
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def find_anchors(letters: np.ndarray, bounds: np.ndarray, lengths: np.ndarray | None, unit: Unit) -> tuple[np.ndarray, ...]:
+def find_anchors(letters: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
     """Text number, anchor, first and last window start (all in units of the step), f and e of every anchor."""
     none = np.zeros(0, np.int64)
     count = np.diff(bounds) - unit.size + 1
@@ -121,12 +122,6 @@ def find_anchors(letters: np.ndarray, bounds: np.ndarray, lengths: np.ndarray |
     core = sums.all(unit.core)
     bits = np.uint64(max(1, int(len(core)).bit_length()))
     order = core >> bits
-    if lengths is not None:
-        # long cores are rare ones: they make better anchors than a cores of common short words
-        total = np.zeros(len(lengths) + 1, np.int64)
-        np.cumsum(lengths, out=total[1:])
-        span = np.minimum(total[unit.core :] - total[: len(core)], 127).astype(np.uint64)
-        order = (order >> np.uint64(7)) | (np.uint64(127) - span) << (np.uint64(57) - bits)
     lowest = sliding_min(order << bits | np.arange(len(core), dtype=np.uint64), unit.reach)
     starts = ragged(bounds[own], count[own])
     text = np.repeat(own, count[own])
@@ -142,75 +137,127 @@ def find_anchors(letters: np.ndarray, bounds: np.ndarray, lengths: np.ndarray |
 
 # ---------------------------------------------------------------- packed exchange
 
-_FIELDS = (("f", np.uint64), ("e", np.uint64), ("id", np.int64), ("tag", np.int32), ("pos", np.int64), ("back", np.int32), ("ahead", np.int32), ("marker", np.uint8))
+_FIELDS = (("f", np.uint64), ("e", np.uint64), ("id", np.int64), ("tag", np.int32), ("back", np.int32), ("ahead", np.int32), ("count", np.int32))
 #: Hashes travel in 48 bits: a setting is told from others by 96 bits, and a core's chance namesake only costs a look.
 HASH = np.uint64((1 << 48) - 1)
-OCCURRENCES = "f long, e long, id long, tag int, pos long, back int, ahead int"
+OCCURRENCES = "f long, e long, id long, tag int, back int, ahead int, positions array<long>"
 
+Rows = dict[str, np.ndarray]
+"""Columns by name, one row for each core, setting and text; ``positions`` has each row's ``count`` positions in turn."""
 
-def _pack(cols: dict[str, np.ndarray]) -> bytes:
-    """Columns one after the other, each by byte planes: the high bytes of small numbers then compress to nothing."""
-    n = len(cols["f"])
-    raw = b"".join(np.ascontiguousarray(cols[k].astype(t).view(np.uint8).reshape(n, -1).T).tobytes() for k, t in _FIELDS)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
+def _take(rows: Rows, own: np.ndarray) -> Rows:
+    first = np.cumsum(rows["count"], dtype=np.int64) - rows["count"]
+    return {k: rows[k][own] for k, _ in _FIELDS} | {"positions": rows["positions"][ragged(first[own], rows["count"][own].astype(np.int64))]}
 
-def _unpack(packed: bytes) -> dict[str, np.ndarray]:
-    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    width = sum(np.dtype(t).itemsize for _, t in _FIELDS)
-    n, at, out = len(raw) // width, 0, {}
+
+def _join(parts: list[Rows]) -> Rows:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes: the high bytes of small numbers then compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, at: int, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
+def _pack(rows: Rows) -> bytes:
+    n, raw = len(rows["f"]), b"".join(_planes(rows[k].astype(t)) for k, t in _FIELDS) + _planes(rows["positions"].astype(np.int64))
+    return n.to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> Rows:
+    n, size = (int.from_bytes(packed[k : k + 8], "little") for k in (0, 8))
+    raw, at, out = pa.decompress(packed[16:], size, codec="zstd", asbytes=True), 0, {}
     for k, t in _FIELDS:
-        size = np.dtype(t).itemsize
-        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n)
-        at += n * size
-    return out
+        out[k] = _from_planes(raw, at, n, t)
+        at += n * np.dtype(t).itemsize
+    return out | {"positions": _from_planes(raw, at, (size - at) // 8, np.int64)}
+
+
+def _collapse(text: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, f: np.ndarray, e: np.ndarray, bounds: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Rows:
+    """One row for all places where a text has the same core in the same setting."""
+    order = np.lexsort((p, e, f, text))
+    text, p, low, high, f, e = (x[order] for x in (text, p, low, high, f, e))
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (e[1:] != e[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    own = text[first]
+    return {
+        "f": f[first] & HASH, "e": e[first] & HASH, "id": ids[own], "tag": tags[own], "back": (p - low)[first].astype(np.int32), "ahead": (high - p)[first].astype(np.int32),
+        "count": np.diff(np.append(first, len(f))).astype(np.int32), "positions": p - bounds[text],
+    }
+
+
+def _repeats(rows: Rows, order: np.ndarray, across: bool, known: np.ndarray) -> np.ndarray:
+    """Which runs of one core in ``order`` (sorted by f, id, tag) are repeats, as a mask over ``order``: the core is in two texts
+    or (not ``across``) twice in one, or somebody else has it too (``known``)."""
+    f, i, t = (rows[k][order] for k in ("f", "id", "tag"))
+    new = np.ones(len(order), bool)
+    new[1:] = f[1:] != f[:-1]
+    weight = rows["count"][order].astype(np.int64)
+    if across:
+        weight = np.ones(len(order), np.int64)
+        weight[1:] = new[1:] | (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+    first = np.flatnonzero(new)
+    enough = np.add.reduceat(weight + 2 * known[order], first) > 1
+    return np.repeat(enough, np.diff(np.append(first, len(order))))
 
 
-def _flush(parts: list[dict[str, np.ndarray]], buckets: int, turn: int) -> Iterator[tuple[int, bool, bytes]]:
-    cols = {k: np.concatenate([p[k] for p in parts]) for k, _ in _FIELDS}
-    order = np.argsort(cols["f"], kind="stable")
-    f = cols["f"][order]
-    same = np.zeros(len(f) + 1, bool)
-    same[1:-1] = f[1:] == f[:-1]
-    twice = same[1:] | same[:-1]
+def _flush(parts: list[Rows], buckets: int, turn: int, across: bool) -> Iterator[tuple[int, bool, bytes]]:
+    rows = _join(parts)
+    n = len(rows["f"])
+    order = np.lexsort((rows["tag"], rows["id"], rows["f"]))
+    twice = _repeats(rows, order, across, np.zeros(n, np.int64))
     direct = np.sort(order[twice])
     step = -(-len(direct) // 20_000) or 1
     for k in range(step):
         own = direct[k::step]
         if len(own):
-            yield (turn * 7919 + k) % buckets, True, _pack({c: v[own] for c, v in cols.items()})
-    cols["marker"][order[twice]] = 1
-    once = np.sort(order[~same[:-1]])
-    bucket = (cols["f"][once] >> np.uint64(20)) % np.uint64(buckets)
+            yield (turn * 7919 + k) % buckets, True, _pack(_take(rows, own))
+    # of what is known to repeat, the first row stands for all, without places
+    f = rows["f"][order]
+    head = np.ones(n, bool)
+    head[1:] = f[1:] != f[:-1]
+    marker = order[twice & head]
+    first = np.cumsum(rows["count"], dtype=np.int64) - rows["count"]
+    gone = np.zeros(len(rows["positions"]), bool)
+    gone[ragged(first[marker], rows["count"][marker].astype(np.int64))] = True
+    rows["positions"] = rows["positions"][~gone]
+    rows["count"][marker] = 0
+    sent = np.sort(order[~twice | head])
+    bucket = (rows["f"][sent] >> np.uint64(20)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
-    once, bucket = once[by], bucket[by]
+    sent, bucket = sent[by], bucket[by]
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            yield int(bucket[a]), False, _pack({c: v[once[a:b]] for c, v in cols.items()})
+            yield int(bucket[a]), False, _pack(_take(rows, sent[a:b]))
 
 
-def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    parts: list[dict[str, np.ndarray]] = []
+def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int, across: bool) -> Iterator[pa.RecordBatch]:
+    parts: list[Rows] = []
     held, turn = 0, TaskContext.get().partitionId() * 101
 
     def rows() -> Iterator[pa.RecordBatch]:
-        out = list(_flush(parts, buckets, turn))
+        out = list(_flush(parts, buckets, turn, across))
         for k in range(0, len(out), 64):
             some = out[k : k + 64]
             yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.bool_()), pa.array([r[2] for r in some], pa.binary())], names=["bucket", "direct", "packed"])
 
     for batch in batches:
         for part, data, offsets in pieces(batch, limit=STEP):
-            letters, bounds, lengths = letters_of(data, offsets, unit)
-            text, p, low, high, f, e = find_anchors(letters, bounds, lengths, unit)
-            if not len(text):
+            letters, bounds = letters_of(data, offsets, unit)
+            found = find_anchors(letters, bounds, unit)
+            if not len(found[0]):
                 continue
             ids, tags = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-            parts.append({"f": f & HASH, "e": e & HASH, "id": ids[text], "tag": tags[text], "pos": p - bounds[text], "back": p - low, "ahead": high - p, "marker": np.zeros(len(f), np.uint8)})
-            held += len(f)
+            parts.append(_collapse(*found, bounds, ids, tags))
+            held += len(parts[-1]["f"])
             if held >= FLUSH:
                 yield from rows()
                 parts.clear()
@@ -219,13 +266,16 @@ def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int) -> Iterat
         yield from rows()
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
     """Occurrences whose core another task or step has too, and those that came as known repeats."""
 
-    def emit(c: dict[str, np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(c: Rows, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(keep), 50_000):
-            own = keep[k : k + 50_000]
-            yield pa.record_batch([pa.array(c["f"][own].view(np.int64)), pa.array(c["e"][own].view(np.int64)), pa.array(c["id"][own]), pa.array(c["tag"][own]), pa.array(c["pos"][own]), pa.array(c["back"][own]), pa.array(c["ahead"][own])], names=["f", "e", "id", "tag", "pos", "back", "ahead"])
+            own = _take(c, keep[k : k + 50_000])
+            offsets = np.zeros(len(own["f"]) + 1, np.int32)
+            np.cumsum(own["count"], out=offsets[1:])
+            places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own["positions"]))
+            yield pa.record_batch([pa.array(own["f"].view(np.int64)), pa.array(own["e"].view(np.int64)), *(pa.array(own[c]) for c in ("id", "tag", "back", "ahead")), places], names=["f", "e", "id", "tag", "back", "ahead", "positions"])
 
     for group in runs(batches, 1):
         parts = []
@@ -237,13 +287,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(c)
         if not parts:
             continue
-        c = {k: np.concatenate([p[k] for p in parts]) for k, _ in _FIELDS}
-        order = np.argsort(c["f"], kind="stable")
-        same = np.zeros(len(order) + 1, bool)
-        same[1:-1] = c["f"][order][1:] == c["f"][order][:-1]
-        keep = np.zeros(len(order), bool)
-        keep[order] = same[1:] | same[:-1]
-        yield from emit(c, np.flatnonzero(keep & (c["marker"] == 0)))
+        c = _join(parts)
+        order = np.lexsort((c["tag"], c["id"], c["f"]))
+        marker = c["count"] == 0
+        keep = np.sort(order[_repeats(c, order, across, marker.astype(np.int64))])
+        yield from emit(c, keep[~marker[keep]])
 
 
 def checksum(text: Column) -> Column:
@@ -263,13 +311,14 @@ def keyed_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str) ->
     return df.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), checksum(text).alias("tag"))
 
 
-def occurrences(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Every anchor whose core occurs more than once; pos, back and ahead in units of its text."""
+def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
+    """Every anchor whose core occurs more than once (``across``: in more than one text), one row for each core, setting and
+    text; positions, back and ahead in units of the text."""
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // 4_000_000))
-    sent = docs.mapInArrow(lambda it: _send(it, unit, buckets), "bucket int, direct boolean, packed binary")
+    sent = docs.mapInArrow(lambda it: _send(it, unit, buckets, across), "bucket int, direct boolean, packed binary")
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_repeated, OCCURRENCES)
+    return dealt.mapInArrow(lambda it: _repeated(it, across), OCCURRENCES)
 
 
 # ---------------------------------------------------------------- from anchors to spans of texts
@@ -285,7 +334,7 @@ def _snippets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.Reco
                 continue
             field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)  # noqa: B023, E731
             row = np.repeat(np.arange(part.num_rows), np.diff(wanted.offsets.to_numpy()))
-            units, bounds = (data, offsets) if not unit.words else letters_of(data, offsets, unit)[:2]
+            units, bounds = (data, offsets) if not unit.words else letters_of(data, offsets, unit)
             start = bounds[row] + field("pos") - field("back")
             end = bounds[row] + field("pos") + field("ahead") + unit.size
             cut = [units[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
@@ -296,27 +345,56 @@ SNIPPETS = "f long, e long, back int, copies long, least long, rivals long, unit
 
 
 def spans(docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame], DataFrame], earlier_only: bool) -> DataFrame:
-    """(id, tag, spans) of every text with something to remove; spans are ranges of units, not yet merged.
+    """(id, tag, spans) of every text with something to remove; a span has positions and the windows around each, see ``ranges``.
 
     ``resolve`` gets the distinct snippets around the cores that occur in more than one setting and returns for
     each (f, e) an array of (first, last, least): windows, counted from the anchor, that occur more than once,
     with the smallest id that has them. Where all settings of a core are one, every window is a repeat.
-    ``earlier_only`` keeps spans whose window has a smaller id elsewhere; otherwise any repeat counts.
+    ``earlier_only`` keeps windows that a smaller id has elsewhere; otherwise any repeat counts.
     """
-    found = materialise(occurrences(docs, unit), "occurrences")
+    found = materialise(occurrences(docs, unit, earlier_only), "occurrences", release=True)
     # first by core and setting, which the map side combines, so that a frequent core's occurrences never meet in one task
-    first = [F.first(c).alias(c) for c in ("id", "tag", "pos", "back", "ahead")]
-    classes = materialise(found.groupBy("f", "e").agg(F.count("*").alias("copies"), F.min("id").alias("least"), *first), "classes")
+    first = [F.first(c).alias(c) for c in ("id", "tag", "back", "ahead")]
+    classes = found.groupBy("f", "e").agg(F.sum(F.size("positions")).alias("copies"), F.min("id").alias("least"), F.first(F.get("positions", F.lit(0))).alias("pos"), *first)
+    classes = materialise(classes, "classes", release=True)
     classes = classes.join(classes.groupBy("f").agg(F.count("*").alias("rivals")), "f")
     wanted = classes.where("rivals > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
     cut = docs.join(wanted, ["id", "tag"]).select("id", "text", "wanted").mapInArrow(lambda it: _snippets(it, unit), SNIPPETS)
-    resolved = materialise(resolve(cut), "resolved")
+    resolved = materialise(resolve(cut), "resolved", release=True)
     whole = F.array(F.struct((-F.col("back")).alias("first"), F.col("ahead").alias("last"), "least"))
     told = classes.where("rivals = 1").select("f", "e", whole.alias("windows")).unionByName(resolved)
-    hit = found.select("f", "e", "id", "tag", "pos").join(told, ["f", "e"]).select("id", "tag", "pos", F.explode("windows").alias("w"))
-    hit = (hit.where("id > w.least") if earlier_only else hit).select("id", "tag", (F.col("pos") + F.col("w.first")).alias("s"), (F.col("pos") + F.col("w.last") + unit.size).alias("e"))
-    # the ranges of one text: no more than its length has room for
-    return hit.groupBy("id", "tag").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    hit = found.select("f", "e", "id", "tag", "positions").join(told, ["f", "e"])
+    if earlier_only:
+        hit = hit.withColumn("windows", F.filter("windows", lambda w: w["least"] < F.col("id"))).where(F.size("windows") > 0)
+    windows = F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
+    # the spans of one text: no more than its length has room for
+    return hit.groupBy("id", "tag").agg(F.collect_list(F.struct("positions", windows.alias("windows"))).alias("spans"))
+
+
+def ranges(column: pa.ListArray, size: int) -> list[tuple[list[int], list[int]]]:
+    """For each row of a ``spans`` column the merged ranges of units that its windows of ``size`` cover."""
+    n = len(column)
+    out: list[tuple[list[int], list[int]]] = [([], [])] * n
+    outer = column.offsets.to_numpy()
+    flat = column.values.slice(outer[0], outer[-1] - outer[0])
+    if not len(flat):
+        return out
+    places, windows = flat.field("positions"), flat.field("windows")
+    p_at, w_at = places.offsets.to_numpy()[: len(flat) + 1], windows.offsets.to_numpy()[: len(flat) + 1]
+    positions = places.values.to_numpy()
+    first, last = (windows.values.field(k).to_numpy() for k in ("first", "last"))
+    per, many = np.diff(p_at), np.diff(w_at)
+    total = (per * many).astype(np.int64)
+    entry = np.repeat(np.arange(len(flat)), total)
+    within = np.arange(len(entry)) - np.repeat(np.cumsum(total) - total, total)
+    at = positions[p_at[entry] + within // many[entry]]
+    w = w_at[entry] + within % many[entry]
+    start, end = at + first[w], at + last[w] + size
+    row = np.repeat(np.arange(n), np.diff(outer))[entry]
+    cuts = np.searchsorted(row, np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        out[k] = merge(start[cuts[k] : cuts[k + 1]], end[cuts[k] : cuts[k + 1]])
+    return out
 
 
 WINDOWS = "f long, e long, windows array<struct<first:int,last:int,least:long>>"

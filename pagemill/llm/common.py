@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -33,11 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there."""
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
+
+    ``release`` lets Spark's cleaner drop the shuffle files that only led to the written table; otherwise they
+    stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

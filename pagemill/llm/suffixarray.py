@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, keyed_rows, merge, spans
+from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, keyed_rows, ranges, spans
 from pagemill.llm.common import STEP_BYTES, ragged, runs
 
 LENGTH, REACH = 200, 128
@@ -257,17 +257,13 @@ def resolver(length: int = LENGTH, rivals: int = RIVALS):
     return resolve
 
 
-def _apply(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], length: int, keep: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if keep else [])]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
-        for ident, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        for ident, text, (s, e) in zip(batch.column(0), batch.column(1), ranges(batch.column(2), length), strict=True):
             raw = text.as_py().encode("utf-8")
             cut: list[bytes] = []
-            s, e = [], []
-            if ranges.is_valid:
-                v = ranges.values
-                s, e = merge(v.field("s").to_numpy(), v.field("e").to_numpy())
             at = 0
             for a, b in zip(s, e, strict=True):
                 cut.append(raw[at:a])
@@ -293,15 +289,14 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     unit = Unit(words=False, size=length, reach=max(1, min(REACH, length * 16 // 25)))
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return docs.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, keep_text), schema)
+    return docs.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, length, keep_text), schema)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        for text, ranges in zip(batch.column(1), batch.column(2), strict=True):
+        for text, (s, e) in zip(batch.column(1), ranges(batch.column(2), length), strict=True):
             raw = text.as_py().encode("utf-8")
-            s, e = merge(ranges.values.field("s").to_numpy(), ranges.values.field("e").to_numpy()) if ranges.is_valid else ([], [])
             kept.append(b"".join(raw[a:b] for a, b in zip([0, *e], [*s, len(raw)], strict=True)).decode("utf-8", "ignore"))
         yield pa.record_batch([batch.column(0), pa.array(kept, pa.string())], names=["row", "kept"])
 
@@ -314,5 +309,5 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = keyed_rows(df, rest, id_col, text_col)
     found = rows.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("row", "text", "spans")
     schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("kept", T.StringType())])
-    cut = found.mapInArrow(_cut, schema)
+    cut = found.mapInArrow(lambda it: _cut(it, length), schema)
     return cut.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])

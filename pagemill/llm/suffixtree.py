@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.anchors import BASE1, NO_ID, WINDOWS, Sums, Unit, keyed, merge, spans
+from pagemill.llm.anchors import BASE1, NO_ID, WINDOWS, Sums, Unit, keyed, ranges, spans
 from pagemill.llm.common import ragged, runs
 
 WORDS, REACH = 13, 10
@@ -180,17 +180,15 @@ def resolver(words: int = WORDS, rivals: int = RIVALS):
     return resolve
 
 
-def _apply(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], size: int, keep: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if keep else [])]
     for batch in batches:
         rows: list[list] = [[] for _ in names]
-        for ident, text, ranges in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+        for ident, text, (s, e) in zip(batch.column(0), batch.column(1), ranges(batch.column(2), size), strict=True):
             # bytes.split() parts at exactly 0x20 and 0x09 to 0x0D
             words = text.as_py().encode("utf-8").split()
             kept = words
-            if ranges.is_valid:
-                v = ranges.values
-                s, e = merge(v.field("s").to_numpy(), v.field("e").to_numpy())
+            if s:
                 kept, at = [], 0
                 for a, b in zip(s, e, strict=True):
                     kept += words[at:a]
@@ -215,4 +213,4 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     unit = Unit(words=True, size=words, reach=max(1, min(REACH, words - 3)))
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return docs.join(spans(docs, unit, resolver(words), earlier_only=True), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, keep_text), schema)
+    return docs.join(spans(docs, unit, resolver(words), earlier_only=True), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, words, keep_text), schema)
