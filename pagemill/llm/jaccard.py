@@ -34,8 +34,9 @@ _LOWER[65:91] += 32
 # ---------------------------------------------------------------- sets
 
 
-def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of several texts, repeats included, and each text's bounds in them."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE, measure: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of all shingles of several texts, repeats included, each text's bounds in them, and (``measure``) a length class:
+    0 for shingles of the most letters, 15 for those of the fewest."""
     start, end, bounds = word_bounds(data, offsets)
     words = Sums(_BYTES[_LOWER[data]], BASE2).of(start, end) ^ mix((end - start).astype(np.uint64))
     count = np.diff(bounds)
@@ -45,12 +46,37 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE)
     owner = np.repeat(np.arange(len(per)), per)
     first = np.arange(int(out[-1])) - out[owner] + bounds[owner]
     last = np.minimum(first + width, bounds[owner + 1])
-    return Sums(words, BASE1).of(first, last) ^ (last - first).astype(np.uint64), out
+    hashes = Sums(words, BASE1).of(first, last) ^ (last - first).astype(np.uint64)
+    if not measure:
+        return hashes, out
+    letters = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=letters[1:])
+    return hashes, out, (15 - np.minimum((letters[last] - letters[first]) // width, 15)).astype(np.uint64)
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles at each of BITS places: as many bits differ between two sets as shingles at most."""
-    return np.packbits((np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
+    """Parity of the number of shingles at each place: as many bits differ between two sets as shingles at most.
+
+    A large set has more places, at least half as many as shingles, or the bound would mean nothing; halves of a
+    longer bitmap combine by exclusive or into the shorter one, see ``fold``.
+    """
+    places = max(BITS, 1 << (len(shingles) // 2).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little")
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) folded to ``words`` words."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def differing(x: bytes | np.ndarray, y: bytes | np.ndarray) -> int:
+    """Differing bits of two bitmaps at the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(fold(a, words) ^ fold(b, words)).sum())
 
 
 def prefix_size(n: int, threshold: Fraction = THRESHOLD) -> int:
@@ -87,10 +113,10 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, le
     high = levels.astype(np.uint64) << np.uint64(60)
     for batch in batches:
         for part, data, offsets in pieces(batch, limit=STEP):
-            h, bounds = shingle_hashes(data, offsets, width)
+            h, bounds, short = shingle_hashes(data, offsets, width, measure=True)
             n, h1, h2, prefix, bits = [], [], [], [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                s = np.unique(h[a:b])
+                s, at = np.unique(h[a:b], return_index=True)
                 n.append(len(s))
                 if not len(s):
                     h1.append(0), h2.append(0), prefix.append(b""), bits.append(b"")
@@ -98,7 +124,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, le
                 h1.append(int(mix(s).sum()) - (1 << 63))
                 h2.append(int(mix(s ^ np.uint64(0x5555555555555555)).sum()) - (1 << 63))
                 k = prefix_size(len(s), threshold)
-                key = high[(s >> np.uint64(44)).astype(np.int64)] | s >> np.uint64(4)
+                # frequent ones last, then those of few letters, which chance brings together most
+                key = high[(s >> np.uint64(44)).astype(np.int64)] | short[a:b][at] << np.uint64(56) | s >> np.uint64(8)
                 prefix.append((np.partition(key, k - 1)[:k] if k < len(s) else key).tobytes())
                 bits.append(bitmap(s).tobytes())
             yield pa.record_batch([part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())], names=["id", "tag", "n", "h1", "h2", "prefix", "bits"])
@@ -188,29 +215,47 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
     for group in runs(batches, 4):
         a, b = group.column(2)[0].as_py(), group.column(3)[0].as_py()
         own, ids, comp, n = (group.column(k).to_numpy() for k in (4, 5, 6, 7))
-        bits = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)
         order = np.argsort(n, kind="stable")
-        own, ids, comp, n, bits = own[order], ids[order], comp[order], n[order].astype(np.int64), bits[order]
+        own, ids, comp, n = own[order], ids[order], comp[order], n[order].astype(np.int64)
+        raw = group.column(8).to_pylist()
+        raw = [raw[k] for k in order.tolist()]
+        # bitmaps lengthen with the size, so each length is a range of rows
+        words = np.array([len(x) // 8 for x in raw])
+        cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
+        maps = [(x, y, np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(y - x, -1)) for x, y in zip(cuts, cuts[1:], strict=False)]
         us, vs = [], []
-        for start in range(0, len(ids), 128):
-            rows = slice(start, min(start + 128, len(ids)))
-            end = int(np.searchsorted(n, n[rows][-1] * q // p, side="right"))
-            cols = slice(start, end)
-            near = np.bitwise_count(bits[rows][:, None, :] ^ bits[None, cols, :]).sum(axis=2, dtype=np.int64)
-            total = n[rows][:, None] + n[None, cols]
-            # overlap <= (total - differing bits) / 2, and similarity t needs overlap >= t / (1 + t) * total
-            ok = (total - near) * (p + q) >= 2 * p * total
-            ok &= (comp[rows][:, None] != comp[None, cols]) & (n[rows][:, None] * q >= n[None, cols] * p)
-            ok &= np.arange(rows.start, rows.stop)[:, None] < np.arange(start, end)[None, :]
-            if a != b:
-                ok &= own[rows][:, None] != own[None, cols]
-            i, j = np.nonzero(ok)
-            us.append(ids[i + start])
-            vs.append(ids[j + start])
+        for x, y, left in maps:
+            for start in range(x, y, 64):
+                stop = min(start + 64, y)
+                end = int(np.searchsorted(n, n[stop - 1] * q // p, side="right"))
+                for x2, y2, right in maps:
+                    lo, hi = max(start, x2), min(end, y2)
+                    if hi <= lo:
+                        continue
+                    near = np.bitwise_count(left[start - x : stop - x, None, :] ^ fold(right[lo - x2 : hi - x2], left.shape[1])[None]).sum(axis=2, dtype=np.int64)
+                    total = n[start:stop, None] + n[None, lo:hi]
+                    # overlap <= (total - differing bits) / 2, and similarity t needs overlap >= t / (1 + t) * total
+                    ok = (total - near) * (p + q) >= 2 * p * total
+                    ok &= (comp[start:stop, None] != comp[None, lo:hi]) & (n[start:stop, None] * q >= n[None, lo:hi] * p)
+                    ok &= np.arange(start, stop)[:, None] < np.arange(lo, hi)[None, :]
+                    if a != b:
+                        ok &= own[start:stop, None] != own[None, lo:hi]
+                    i, j = np.nonzero(ok)
+                    us.append(ids[i + start])
+                    vs.append(ids[j + lo])
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
         yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
+def _possible(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """The rows (u, v, n, m, bits of u, bits of v) whose bitmaps allow the threshold, without the bitmaps."""
+    p, q = threshold.numerator, threshold.denominator
+    for batch in batches:
+        differ = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+        total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        yield batch.select([0, 1, 2]).filter(pa.array((total - differ) * (p + q) >= 2 * p * total))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
     """Of each chunk (hub, chunk): the members whose set has the threshold's similarity with the hub's."""
     p, q = threshold.numerator, threshold.denominator
@@ -224,12 +269,11 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction)
                 sets = [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 members = part.column(3).to_numpy()
                 if hub is None:  # the hub's own row sorts first
-                    hub, hub_bits, sets, members = sets[0], np.frombuffer(bitmap(sets[0]), np.uint64), sets[1:], members[1:]
+                    hub, hub_bits, sets, members = sets[0], bitmap(sets[0]), sets[1:], members[1:]
                 name = group.column(0)[0].as_py()
                 for s, m in zip(sets, members.tolist(), strict=True):
                     total = len(s) + len(hub)
-                    differ = int(np.bitwise_count(np.frombuffer(bitmap(s), np.uint64) ^ hub_bits).sum())
-                    if (total - differ) * (p + q) < 2 * p * total:
+                    if (total - differing(bitmap(s), hub_bits)) * (p + q) < 2 * p * total:
                         continue
                     common = len(np.intersect1d(s, hub, assume_unique=True))
                     if q * common >= p * (total - common):
@@ -273,14 +317,21 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = banded.groupBy("grp", "band").agg(F.min(F.struct("n", "id")).alias("head")).select("grp", "band", F.col("head.n").alias("m"), F.col("head.id").alias("u"))
     both = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
     star = banded.join(both, ["grp", "band"]).where(f"u != id AND least(m, n) * {q} >= greatest(m, n) * {p}")
-    star = materialise(star.groupBy(F.col("u"), F.col("id").alias("v")).agg(F.max("n").alias("n")), "star")
-    wanted = groups.select("id").distinct().join(classes, "id").select("id", "tag").distinct()
-    texts = materialise(docs.join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text"), "texts")
-    links = materialise(verify(star, texts, width, threshold), "links")
+    star = star.groupBy(F.col("u"), F.col("id").alias("v")).agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    marks = materialise(reps.select("id", "tag", "bits").dropDuplicates(["id"]), "marks")
+    bits = marks.select("id", "bits")
+    star = star.join(bits.select(F.col("id").alias("u"), F.col("bits").alias("left")), "u").join(bits.select(F.col("id").alias("v"), F.col("bits").alias("right")), "v")
+    star = materialise(star.select("u", "v", "n", "m", "left", "right").mapInArrow(lambda it: _possible(it, threshold), "u long, v long, n int"), "star")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(marks.select("id", "tag"), "id")
+        texts = materialise(docs.join(ids, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text"), f"{name}-texts")
+        return materialise(verify(pairs, texts, width, threshold), name)
+
+    links = linked(star, "links")
     found = materialise(components(links, "first"), "first")
     placed = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_groups = placed.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).where("c0 != c1").select("grp", "chunks")
-    bits = reps.select("id", "bits").dropDuplicates(["id"])
     rest = placed.join(open_groups, "grp").join(bits, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     # a group of one tile isn't banded; in others a set stands in its own band's tiles and the next one's
     rest = rest.withColumn("band", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -290,7 +341,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tested = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     sizes = groups.groupBy("id").agg(F.max("n").alias("n"))
     pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti").join(sizes.withColumnRenamed("id", "u"), "u"), "pairs")
-    every = links.unionByName(verify(pairs, texts, width, threshold))
+    every = links.unionByName(linked(pairs, "more"))
     final = components(every, "final")
     known = classes.select("h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
