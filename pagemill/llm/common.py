@@ -50,8 +50,9 @@ def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan (file sizes for a scan); never reads data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's own size estimate of a plan (file sizes for a scan); never reads data. 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 0
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

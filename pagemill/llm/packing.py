@@ -115,10 +115,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
                 # the last place takes the longest piece that still fits, so a bin's width isn't lost as a gap
                 at = min(b * width, capacity) if len(taken) + 1 < len(kinds[j]) else capacity - sum(taken)
                 n = next((n for n in range(at, (b - 1) * width, -1) if left.get(n, 0) > used.get(n, 0)), None)
-                if n is not None:
-                    used[n] = used.get(n, 0) + 1
-                    taken.append(n)
-            if not taken:
+                if n is None:
+                    break
+                used[n] = used.get(n, 0) + 1
+                taken.append(n)
+            if len(taken) < len(kinds[j]):  # the fit overshoots here: a pattern with a gap is left to the residuals
                 break
             runs = min([repeats, *(left[n] // k for n, k in used.items())])
             for n, k in used.items():
