@@ -96,6 +96,7 @@ def prefix_totals(df: DataFrame, bucket: str, order: list[str], values: dict[str
 
 
 def last_writer(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """The row that wins each output name: the last in ``order``."""
-    window = Window.partitionBy(name).orderBy(*[c.desc() for c in order])
-    return df.withColumn("_at", F.row_number().over(window)).where("_at = 1").drop("_at")
+    """The row that wins each output name: the last in ``order``. A grouped maximum, combined before the shuffle, so a name
+    that many rows have isn't gathered."""
+    last = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]))
+    return df.groupBy(F.col(name).alias("_name")).agg(last.alias("_row")).select("_row.*")
