@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import input_bytes, materialise, mix, pieces, ragged, runs
+from pagemill.llm.common import CLEAR, input_bytes, materialise, mix, pieces, ragged, runs, task
 
 BASE1, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
-FLUSH, STEP = 150_000, 400_000
+FLUSH, STEP = 100_000, 400_000
 NO_ID = -(2**63)
 
 
@@ -53,6 +53,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+CLEAR["anchors"] = [_powers.cache_clear]
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse modulo 2^64, at least ``n`` of them."""
     return _powers(base, 1 << max(16, (n - 1).bit_length()))
@@ -239,6 +242,7 @@ def _flush(parts: list[Rows], buckets: int, turn: int, across: bool) -> Iterator
             yield int(bucket[a]), False, _pack(_take(rows, sent[a:b]))
 
 
+@task("anchors")
 def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int, across: bool) -> Iterator[pa.RecordBatch]:
     parts: list[Rows] = []
     held, turn = 0, TaskContext.get().partitionId() * 101
@@ -266,6 +270,7 @@ def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int, across: b
         yield from rows()
 
 
+@task("anchors")
 def _repeated(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
     """Occurrences whose core another task or step has too, and those that came as known repeats."""
 
@@ -324,6 +329,7 @@ def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
 # ---------------------------------------------------------------- from anchors to spans of texts
 
 
+@task("anchors")
 def _snippets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """For each class its representative's units: bytes as they are, words as 64-bit letters."""
     for batch in batches:

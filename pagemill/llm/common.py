@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +23,67 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 400) -> None:
     """Bound the Arrow batches that hold whole texts: a batch has ``rows`` rows at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: What to call when another operator's tasks come to a worker: Spark keeps workers, and their caches, between jobs.
+CLEAR: dict[str, list[Callable[[], None]]] = {}
+_LIBC = ctypes.CDLL(None)
+_owner = ""
+
+
+def task(owner: str) -> Callable:
+    """For generators over Arrow batches: before the first batch the caches of other operators are emptied, and after the
+    last freed memory goes back to the system, so that an idle worker holds little more than its own operator's cache."""
+
+    def wrap(run: Callable) -> Callable:
+        @functools.wraps(run)
+        def tidy(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+            global _owner
+            if _owner not in ("", owner):
+                for name, clear in CLEAR.items():
+                    if name != owner:
+                        for c in clear:
+                            c()
+            _owner = owner
+            try:
+                yield from run(*args, **kwargs)
+            finally:
+                gc.collect()
+                pa.default_memory_pool().release_unused()
+                if hasattr(_LIBC, "malloc_trim"):
+                    _LIBC.malloc_trim(0)
+
+        return tidy
+
+    return wrap
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share; set only where unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return path
+
+
+_MADE: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that this session's operators wrote to the shared folder; results read from them end with it.
+
+    To be called once results are written. Returns how many there were.
+    """
+    n, jvm = len(_MADE), spark.sparkContext._jvm
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
@@ -44,6 +96,7 @@ def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
     if release:
+        time.sleep(1)  # until then the events of the write still refer to its plan
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

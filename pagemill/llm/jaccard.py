@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, keyed, word_bounds
-from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs
+from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, task
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
 #: Counters of the frequency sketch, bits of a set's bitmap, members of a tile, shingles of a verification chunk.
@@ -83,6 +83,7 @@ def prefix_size(n: int, threshold: Fraction = THRESHOLD) -> int:
     return n - -(-n * threshold.numerator // threshold.denominator) + 1
 
 
+@task("jaccard")
 def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The task's frequent counters; a document counts once a shingle."""
     counts, docs = np.zeros(COUNTERS, np.int64), 0
@@ -109,6 +110,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
 SETS = "id long, tag int, n int, h1 long, h2 long, prefix binary, bits binary"
 
 
+@task("jaccard")
 def _sets(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     high = levels.astype(np.uint64) << np.uint64(60)
     for batch in batches:
@@ -134,6 +136,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction, le
 # ---------------------------------------------------------------- groups of sets that share a prefix shingle
 
 
+@task("jaccard")
 def _tokens(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """One packed row per step and bucket for ordinary shingles; frequent ones as rows, which joins can split."""
     ids: list[np.ndarray] = []
@@ -173,6 +176,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         yield from flush()
 
 
+@task("jaccard")
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, id, n): members of each shingle that several sets have; shingles with the same members make one group."""
     for group in runs(batches, 1):
@@ -209,6 +213,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- pairs
 
 
+@task("jaccard")
 def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
     """Pairs of a tile in different components whose sizes and bitmaps allow the threshold."""
     p, q = threshold.numerator, threshold.denominator
@@ -225,8 +230,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
         maps = [(x, y, np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(y - x, -1)) for x, y in zip(cuts, cuts[1:], strict=False)]
         us, vs = [], []
         for x, y, left in maps:
-            for start in range(x, y, 64):
-                stop = min(start + 64, y)
+            block = int(np.clip(1_000_000 // (len(ids) * left.shape[1]), 1, 64))  # of at most 8 MB a step
+            for start in range(x, y, block):
+                stop = min(start + block, y)
                 end = int(np.searchsorted(n, n[stop - 1] * q // p, side="right"))
                 for x2, y2, right in maps:
                     lo, hi = max(start, x2), min(end, y2)
@@ -247,6 +253,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
         yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
 
+@task("jaccard")
 def _possible(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
     """The rows (u, v, n, m, bits of u, bits of v) whose bitmaps allow the threshold, without the bitmaps."""
     p, q = threshold.numerator, threshold.denominator
@@ -256,6 +263,7 @@ def _possible(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterato
         yield batch.select([0, 1, 2]).filter(pa.array((total - differ) * (p + q) >= 2 * p * total))
 
 
+@task("jaccard")
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
     """Of each chunk (hub, chunk): the members whose set has the threshold's similarity with the hub's."""
     p, q = threshold.numerator, threshold.denominator
@@ -308,9 +316,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialise(classes.select("h1", "h2", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag")), "classes")
     reps = sets.join(classes, ["h1", "h2", "id", "tag"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(sets) // 16_000_000))
-    dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens")
+    dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens", release=True)
     ordinary = dealt.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "grp long, id long, n int")
-    groups = materialise(ordinary.unionByName(dealt.where("bucket < 0").select("grp", "id", "n")).distinct(), "groups")
+    groups = materialise(ordinary.unionByName(dealt.where("bucket < 0").select("grp", "id", "n")).distinct(), "groups", release=True)
     p, q = threshold.numerator, threshold.denominator
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(q / p))).cast("int")
     banded = groups.withColumn("band", band)
@@ -325,7 +333,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(marks.select("id", "tag"), "id")
-        texts = materialise(docs.join(ids, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text"), f"{name}-texts")
+        texts = materialise(docs.join(ids, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text"), f"{name}-texts", release=True)
         return materialise(verify(pairs, texts, width, threshold), name)
 
     links = linked(star, "links")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import id_text
+from pagemill.llm.common import id_text, task
 
 # Element ids of the Matroska and EBML specifications (RFC 8794, RFC 9559).
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
@@ -306,6 +306,7 @@ def pad(raw: bytes, unit: int = UNIT) -> bytes:
 STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("media", T.BinaryType())])
 
 
+@task("media")
 def _store(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in STORED if keep or f.name != "media"]
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media": pa.binary()}
@@ -337,6 +338,7 @@ def store_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
 PACKETS = "id long, ordinal int, track int, timestamp_ns long, start long, size long, keyframe boolean, lacing int, cluster int, is_cue boolean, error string"
 
 
+@task("media")
 def _packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("id", "ordinal", "track", "timestamp_ns", "start", "size", "keyframe", "lacing", "cluster", "is_cue", "error")
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.bool_(), pa.string())

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, keyed_rows, ranges, spans
-from pagemill.llm.common import STEP_BYTES, ragged, runs
+from pagemill.llm.common import STEP_BYTES, ragged, runs, task
 
 LENGTH, REACH = 200, 128
 #: Cores with more settings than this are compared window by window through a grouped count instead of one array.
-RIVALS, BATCH = 1024, 400_000
+RIVALS, BATCH = 1024, 250_000
 
 
 def build(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -197,6 +197,7 @@ def _ranges(starts: np.ndarray, back: int) -> list[dict]:
     return [{"first": int(a) - back, "last": int(b) - back, "least": NO_ID} for a, b in zip(first, last, strict=True)]
 
 
+@task("anchors")
 def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Groups of snippets with one core, many groups of similar size to a build."""
     held: list[dict] = []
@@ -233,6 +234,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield from solve()
 
 
+@task("anchors")
 def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -257,6 +259,7 @@ def resolver(length: int = LENGTH, rivals: int = RIVALS):
     return resolve
 
 
+@task("anchors")
 def _apply(batches: Iterator[pa.RecordBatch], length: int, keep: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if keep else [])]
     for batch in batches:
@@ -292,6 +295,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return docs.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, length, keep_text), schema)
 
 
+@task("anchors")
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.anchors import BASE1, NO_ID, WINDOWS, Sums, Unit, keyed, ranges, spans
-from pagemill.llm.common import ragged, runs
+from pagemill.llm.common import ragged, runs, task
 
 WORDS, REACH = 13, 10
 #: Suffixes that one set of subtrees holds; words all active suffixes read at once; settings of one core that are sorted in one task.
@@ -115,6 +115,7 @@ def _windows(units: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np
 _KIND = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())]))
 
 
+@task("anchors")
 def _resolve(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
     size = 0
@@ -145,6 +146,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 _SUFFIXES = "prefix long, f long, e long, at int, least long, copies long, words binary"
 
 
+@task("anchors")
 def _suffixes(batches: Iterator[pa.RecordBatch], words: int, prefix: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f, e, back, copies, least = (batch.column(k).to_numpy() for k in range(5))
@@ -156,6 +158,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], words: int, prefix: int) -> Ite
             yield pa.record_batch([pa.array(key), pa.array(f[owner]), pa.array(e[owner]), pa.array((at - back[owner]).astype(np.int32)), pa.array(least[owner]), pa.array(copies[owner]), pa.array([r.tobytes() for r in flat], pa.binary())], names=["prefix", "f", "e", "at", "least", "copies", "words"])
 
 
+@task("anchors")
 def _prefixed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for group in runs(batches, 1):
         x = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint64).reshape(-1, words)
@@ -180,6 +183,7 @@ def resolver(words: int = WORDS, rivals: int = RIVALS):
     return resolve
 
 
+@task("anchors")
 def _apply(batches: Iterator[pa.RecordBatch], size: int, keep: bool) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if keep else [])]
     for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import components, materialise, runs
+from pagemill.llm.common import components, materialise, runs, task
 
 BITS, NEIGHBOURS, MISS, PASSES_AT_ONCE, TILE, ROWS = 62, 64, 1e-3, 4, 1024, 100_000
 
@@ -45,6 +45,7 @@ def _by_dimension(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.
         yield int(d), batch.filter(pa.array(sizes == d))
 
 
+@task("vectors")
 def _keys(batches: Iterator[pa.RecordBatch], passes: list[int]) -> Iterator[pa.RecordBatch]:
     planes: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
@@ -90,6 +91,7 @@ def _window_edges(ids: np.ndarray, x: np.ndarray, threshold: float, window: int)
     return us, vs
 
 
+@task("vectors")
 def _edges(batches: Iterator[pa.RecordBatch], threshold: float, window: int) -> Iterator[pa.RecordBatch]:
     for group in runs(batches, 2):
         for start in range(0, group.num_rows, ROWS):
@@ -99,6 +101,7 @@ def _edges(batches: Iterator[pa.RecordBatch], threshold: float, window: int) ->
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+@task("vectors")
 def _counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Of each tile (component, a, b): for each row of chunk a the copies linked in chunk b, and the other way round."""
     for group in runs(batches, 3):
