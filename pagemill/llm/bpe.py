@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import id_text
-from pagemill.llm.tokencount import PATTERN
+from pagemill.llm.common import CLEAR, id_text, task
+from pagemill.llm.tokencount import PATTERN, PLAIN_PATTERN, plain
 
 CACHE_ENTRIES = 300_000
 LEAF = 3
@@ -116,7 +118,8 @@ class Packed(dict):
         self.bpe = bpe
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(i.to_bytes(4, "little") for i in self.bpe.encode(word.encode("utf-8")))
+        ids = self.bpe.encode(word.encode("utf-8"))
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) > CACHE_ENTRIES:
                 self.clear()
@@ -127,14 +130,19 @@ class Packed(dict):
 _WORKER: dict[str, Packed] = {}
 
 
+CLEAR["bpe"] = [_WORKER.clear, load.cache_clear]
+
+
+@task("bpe")
 def _encode(batches: Iterator[pa.RecordBatch], path: str, keep: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     packed = _WORKER.setdefault(path, Packed(bpe)).__getitem__
-    find = regex.compile(PATTERN).findall
+    find, find_plain = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall
     for batch in batches:
         counts, hashes, decoded, ids = [], [], [], []
         for value in batch.column(1):
-            raw = b"".join(map(packed, find(value.as_py() or "")))
+            text = value.as_py() or ""
+            raw = b"".join(map(packed, (find_plain if plain(text) else find)(text)))
             tokens = memoryview(raw).cast("I")
             counts.append(len(tokens))
             hashes.append(hashlib.sha256(raw).hexdigest())

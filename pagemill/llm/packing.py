@@ -9,6 +9,8 @@ so the driver never sees a document, and a piece finds its place by its ordinal
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,19 +18,18 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import id_text, materialise
-from pagemill.llm.tokencount import PLAIN, SPACE, _tokenizer, byte_letters
+from pagemill.llm.common import CLEAR, id_text, materialise, task
+from pagemill.llm.tokencount import NUMBERS, SPACE, _tokenizer, byte_letters, plain, spelled
 
-# What the tokenizer's own pre-tokeniser keeps, with Unicode's White_Space written out.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
+# What the tokenizer's own pre-tokeniser keeps, for code points up to PLAIN.
+WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{NUMBERS}]+|[{NUMBERS}]|(?:[^\w{SPACE}]|_)+"
 
 CAPACITY, BINS, DEPTH = 2048, 256, 3
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -174,7 +175,8 @@ class WordIds(dict):
         self.model, self.letters = _tokenizer(path).model, dict(enumerate(byte_letters()))
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word.encode("utf-8").decode("latin-1").translate(self.letters)))
+        ids = [t.id for t in self.model.tokenize(spelled(word, self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
             if len(self) > CACHE_ENTRIES:
                 self.clear()
@@ -187,18 +189,22 @@ def _words(path: str) -> WordIds:
     return WordIds(path)
 
 
+CLEAR["packing"] = [_words.cache_clear, _tokenizer.cache_clear]
+
+
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of a text as the tokenizer gives them, packed; a plain text word by word, any other by the library."""
-    if (text.isascii() or (max(text) <= PLAIN and "İ" not in text)) and "<|" not in text:
+    if plain(text) and "İ" not in text and "<|" not in text:
         return b"".join(map(_words(path).__getitem__, _FIND(text.lower())))
     return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_FIND = regex.compile(WORDS).findall
+_FIND = re.compile(WORDS).findall
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+@task("packing")
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
     for batch in batches:

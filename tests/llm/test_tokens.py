@@ -1,6 +1,7 @@
 """Tokenising operators against the public libraries, and packing against its own invariants."""
 
 import array
+import bisect
 import hashlib
 import zlib
 from collections import Counter
@@ -62,6 +63,20 @@ def test_word_ids_are_the_library_s(rows):
         assert packing.token_bytes(t or "", WORD_BPE) == np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@given(st.text(st.characters(max_codepoint=0x24F), max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_plain_patterns_match_alike(text):
+    assert bpe.re.findall(bpe.PLAIN_PATTERN, text) == bpe.regex.findall(P.PATTERN.replace(r"\s", f"[{tokencount.SPACE}]").replace(r"[^[", "[^").replace(r"]\p{L}\p{N}]", r"\p{L}\p{N}]").replace(r"\S", f"[^{tokencount.SPACE}]"), text)
+    library = Tokenizer.from_file(WORD_BPE)
+    assert packing.token_bytes(text, WORD_BPE) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_every_plain_code_point_is_classed_as_by_unicode():
+    for c in map(chr, range(0x250)):
+        assert bool(bpe.re.fullmatch(rf"[^\W_{tokencount.NUMBERS}]", c)) == bool(bpe.regex.fullmatch(r"\p{L}", c)), c
+        assert bool(bpe.re.fullmatch(rf"[{tokencount.NUMBERS}]", c)) == bool(bpe.regex.fullmatch(r"\p{N}", c)), c
+
+
 def check_packed(pieces, texts, capacity):
     library = Tokenizer.from_file(WORD_BPE)
     want = Counter()
@@ -92,7 +107,7 @@ def test_packing(docs, rows, capacity):
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 400), min_size=1, max_size=40))
 @settings(max_examples=60, deadline=None)
-def test_plan_places_everything_about_as_well_as_best_fit(histogram):
+def test_plan_places_everything(histogram):
     plan = packing.plan(histogram, capacity=64, bins=32)
     placed = Counter()
     for lengths, n in plan:
@@ -100,15 +115,28 @@ def test_plan_places_everything_about_as_well_as_best_fit(histogram):
         for x in lengths:
             placed[x] += n
     assert placed == Counter(histogram)
+    assert sum(n for _, n in plan) <= 1.35 * best_fit(histogram, 64) + 2
+
+
+def best_fit(histogram, capacity):
     gaps, used = [], 0
     for x in sorted(Counter(histogram).elements(), reverse=True):
-        fit = min((g for g in gaps if g >= x), default=None)
-        if fit is None:
-            used, fit = used + 1, 64
+        at = bisect.bisect_left(gaps, x)
+        if at == len(gaps):
+            used += 1
+            gap = capacity
         else:
-            gaps.remove(fit)
-        gaps.append(fit - x)
-    assert sum(n for _, n in plan) <= 1.1 * used + 2
+            gap = gaps.pop(at)
+        bisect.insort(gaps, gap - x)
+    return used
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_is_about_as_good_as_best_fit_on_document_lengths(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.clip(rng.lognormal(6.2, 1.1, 8000).astype(int), 1, 2048)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    assert sum(n for _, n in packing.plan(histogram)) <= 1.005 * best_fit(histogram, 2048) + 1
 
 
 def test_places_are_runs_of_ordinals():
