@@ -16,7 +16,7 @@ from pagemill.llm.common import materialise, small_batches
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: not ``und``, score of 0.5 or more."""
+    """Documents that have a language: not ``und``, score of language.LEAST_SCORE or more."""
     small_batches(spark)
     return language.keep_identified(docs)
 

@@ -15,12 +15,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import pieces
+from pagemill.llm.common import pieces, task
 
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Bounds of the labelled sample: rows, and windows of each. The fit never sees more, whatever the corpus.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 4_000, 3
 UNDETERMINED = "und"
+#: Below this score a text has no language: between a few classes the network only guesses.
+LEAST_SCORE = 0.3
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -147,6 +149,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return train([texts[i] for i in order], [labels[i] for i in order])
 
 
+@task("language")
 def _predictions(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, column: str) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     """Slices of the batches with the language and score of each text."""
     tables = model.tables() if model else {}
@@ -179,7 +182,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None) -> Iterat
         yield pa.record_batch([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
-def keep_identified(df: DataFrame, least: float = 0.5, model: ByteCNN | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def keep_identified(df: DataFrame, least: float = LEAST_SCORE, model: ByteCNN | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows, all columns as they are, whose text has a language: not ``und`` and a score of at least ``least``.
 
     Null and letterless texts go; with nothing labelled there is no model and every text goes; repeated rows

@@ -5,7 +5,7 @@ import public_tokenizers as P
 import __spark_entry__
 import corpus_pipeline as C
 from pagemill.llm import jaccard, language, queries, suffixarray
-from pagemill.llm.common import materialise
+from pagemill.llm.common import drop_tables, materialise
 
 
 def test_stages(spark, sf):
@@ -18,7 +18,7 @@ def test_stages(spark, sf):
             assert kept[-1].columns == columns
     known, near, cut, packed = kept[1:]
     found = {r.doc_id: r for r in language.identify(docs).collect()}
-    assert {r.doc_id for r in known.collect()} == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= 0.5}
+    assert {r.doc_id for r in known.collect()} == {i for i, r in found.items() if r.lang_pred != "und" and r.score >= language.LEAST_SCORE}
     groups = jaccard.jaccard_join(known).collect()
     assert {r.doc_id for r in near.collect()} == {r.component_id for r in groups}
     texts = {r.doc_id: r.text for r in suffixarray.dedup_bytes(near).collect()}
@@ -35,6 +35,12 @@ def test_run_is_the_stages_in_turn(spark, sf):
     assert ids == {r.doc_id for r in docs.collect()}
 
 
+def test_written_tables_can_be_dropped(spark):
+    table = materialise(spark.range(3), "numbers")
+    assert table.count() == 3 and drop_tables(spark) > 0
+    assert drop_tables(spark) == 0
+
+
 def test_letterless_documents_go(spark, sf):
     docs = spark.createDataFrame([(1, "12 34", "en", "s", 5), (2, None, "en", "s", 0), (3, "the house and the garden", "en", "s", 24), (4, "la maison et le jardin", "fr", "s", 22)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in C.STAGES[0][1](spark, docs, sf).collect()} <= {3, 4}
