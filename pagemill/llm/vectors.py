@@ -3,7 +3,9 @@
 A pass gives every vector a key of concatenated random-hyperplane bits, sorts by it, and compares each vector
 with a bounded window of followers in that order; verified pairs of all passes are united. The number of
 passes follows from the number of vectors, so that the chance to miss a pair at the threshold stays the same at
-any size. Links are then counted exactly by comparing the members of each component in bounded tiles.
+any size. Vectors that crowd under few keys outgrow the window: runs of one key prefix that hold more rows, in
+different components, are compared in full in bounded tiles, at the prefix length that their measured sizes make
+cheapest. Links are then counted exactly by comparing the members of each component in bounded tiles.
 """
 
 from __future__ import annotations
@@ -19,13 +21,19 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import components, materialise, runs, task
 
 BITS, NEIGHBOURS, MISS, PASSES_AT_ONCE, TILE, ROWS = 62, 64, 1e-3, 4, 1024, 100_000
+#: Passes that key density is measured on, bits between the prefix lengths tried, comparisons that a row of a tile costs.
+MEASURED, BETWEEN, SHIP = 2, 3, 500
 
 
 def passes_for(n: int, threshold: float, window: int = NEIGHBOURS, miss: float = MISS) -> int:
     """Passes after which two vectors at the threshold have failed to meet in any window with chance ``miss``."""
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = max(1.0, math.log2(max(n, 2) / window) + 1)
-    return max(6, math.ceil(math.log(miss) / math.log(1 - agree**bits)))
+    return max(6, passes_of(max(1.0, math.log2(max(n, 2) / window) + 1), threshold, miss))
+
+
+def passes_of(bits: float, threshold: float, miss: float = MISS) -> int:
+    """Passes after which two vectors at the threshold have shared no key prefix of ``bits`` with chance ``miss``."""
+    agree = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(miss) / math.log(1 - agree)) if agree < 1 else 1
 
 
 def _rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -60,6 +68,66 @@ def _keys(batches: Iterator[pa.RecordBatch], passes: list[int]) -> Iterator[pa.R
                 yield pa.record_batch([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(code), part.column(0), part.column(1)], names=["pass", "dim", "code", "id", "vector"])
 
 
+@task("vectors")
+def _across(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Of each tile (pass, dim, prefix, a, b): the pairs of components with a row each that are linked."""
+    for group in runs(batches, 5):
+        a, b = group.column(3)[0].as_py(), group.column(4)[0].as_py()
+        order = np.argsort(group.column(6).to_numpy(), kind="stable")
+        side, comp = group.column(5).to_numpy()[order], group.column(6).to_numpy()[order]
+        x = _rows(group.column(7).take(pa.array(order)))
+        left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+        found: set[tuple[int, int]] = set()
+        for i in range(0, len(left), 512):
+            rows, others = left[i : i + 512], right
+            if comp[rows[0]] == comp[rows[-1]]:  # nothing new inside one component
+                others = right[comp[right] != comp[rows[0]]]
+            near = (x[rows] @ x[others].T) >= threshold
+            near &= comp[rows][:, None] != comp[others][None, :]
+            u, v = np.nonzero(near)
+            found.update(map(tuple, np.unique(np.stack([comp[rows[u]], comp[others[v]]], axis=1), axis=0).tolist()))
+        yield pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
+
+
+def crowded(classes: DataFrame, grouped: DataFrame, n: int, threshold: float, window: int) -> DataFrame:
+    """Links (u, v) between components, among vectors that share a key prefix with more rows than the window.
+
+    Two vectors at the threshold share a prefix of b bits in one of passes_of(b) passes but for chance MISS, however
+    many others share it; b = 0 compares all. Of the lengths up to the windows' own the one of the fewest
+    comparisons is taken, by sizes measured on all rows. Small tables don't lean on the windows at all.
+    """
+    spark = classes.sparkSession
+    kind = dict(classes.dtypes)["vector"][6:-1]
+    schema = f"pass int, dim int, code long, id long, vector array<{kind}>"
+    placed = grouped.withColumnRenamed("node", "id")
+    least = window + 1 if n > ROWS else 1
+
+    def coded(passes: list[int]) -> DataFrame:
+        return classes.select("rep", "vector").mapInArrow(lambda it: _keys(it, passes), schema).select("pass", "dim", "code", "id").join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    top = min(BITS, max(0, math.floor(math.log2(max(n, 2) / window) + 1)))
+    lengths = sorted({0, *range(top, 0, -BETWEEN)})
+    prefixes = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.expr(f"shiftright(code, {BITS - b})").alias("prefix")) for b in lengths])).alias("p")
+    counted = coded(list(range(MEASURED))).select("pass", "dim", "component", prefixes).groupBy("pass", "dim", "p", "component").agg(F.count("*").cast("double").alias("c"))
+    counted = counted.groupBy("pass", "dim", "p").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("same")).where(f"rows > {least} AND rows * rows > same")
+    # all lengths are measured on the same passes, so their sums compare
+    costs = {r.b: r.cost for r in counted.groupBy("p.b").agg(F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2 + SHIP * F.col("rows") * F.ceil(F.col("rows") / TILE)).alias("cost")).collect()}
+    bits = min(lengths, key=lambda b: (costs.get(b, 0) * passes_of(b, threshold), b))
+    links = spark.createDataFrame([], "u long, v long")
+    wanted = passes_of(bits, threshold)
+    for start in range(0, wanted, PASSES_AT_ONCE):
+        codes = coded(list(range(start, min(wanted, start + PASSES_AT_ONCE)))).selectExpr("pass", "dim", f"shiftright(code, {BITS - bits}) AS prefix", "id", "component")
+        codes = materialise(codes, "vector-codes")
+        full = codes.groupBy("pass", "dim", "prefix").agg(F.count("*").alias("rows"), F.min("component").alias("c0"), F.max("component").alias("c1")).where(f"rows > {least} AND c0 != c1")
+        full = full.select("pass", "dim", "prefix", F.ceil(F.col("rows") / TILE).cast("int").alias("chunks"))
+        rows = codes.join(full, ["pass", "dim", "prefix"]).join(classes.select(F.col("rep").alias("id"), "vector"), "id")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        tiles = rows.select("pass", "dim", "prefix", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "component", "vector")
+        tiles = tiles.repartition("pass", "dim", "prefix", "a", "b").sortWithinPartitions("pass", "dim", "prefix", "a", "b")
+        links = links.unionByName(tiles.mapInArrow(lambda it: _across(it, threshold), "u long, v long"))
+    return links
+
+
 class Forest:
     """Union-find over row numbers."""
 
@@ -154,6 +222,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         edges = ordered.mapInArrow(lambda it: _edges(it, threshold, window), "u long, v long")
         found = edges if found is None else found.unionByName(edges)
     grouped = materialise(components(found, "vectors"), "vector-components")
+    more = materialise(crowded(classes, grouped, n, threshold, window).distinct(), "vector-links")
+    if not more.isEmpty():
+        every = grouped.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+        grouped = materialise(components(every, "vectors-crowded"), "vector-components")
     sizes = grouped.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
     members = grouped.join(sizes, "component").join(classes.withColumnRenamed("rep", "node"), "node")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
