@@ -15,10 +15,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, keyed, word_bounds
+from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, word_bounds
 from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, task
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
@@ -107,7 +107,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
-SETS = "id long, tag int, n int, h1 long, h2 long, prefix binary, bits binary"
+SETS = "id long, tag struct<a: long, b: long>, n int, h1 long, h2 long, prefix binary, bits binary"
 
 
 @task("jaccard")
@@ -300,21 +300,23 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction)
     return together.mapInArrow(lambda it: _verify(it, width, threshold), "u long, v long")
 
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id of every text; linked texts have Jaccard similarity >= ``threshold``.
+def _key(id_col: str, text_col: str) -> list[Column]:
+    """id (a null one as the least long) and tag, 128 bits of the text: together they name a row, whatever ids it shares."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    tag = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag")]
 
-    A null text and one without words have no shingles and link with nothing; one with fewer words than
-    ``width`` has its whole sequence as the only shingle. Equal sets are linked. Rows that share an id are one
-    document for linking; a null id is below all others and its component is null where it is the smallest; an
-    empty table gives no rows; other columns are ignored.
-    """
+
+def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and for each set (h1, h2) that isn't empty ``first``: the least (id, tag) of its linked group."""
     spark = df.sparkSession
-    docs = keyed(df, id_col, text_col)
+    docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *_key(id_col, text_col)).select("id", "text", "tag")
     shared = spark.sparkContext.broadcast(frequency_levels(docs.select("id", "text"), width))
     sets = materialise(docs.select("id", "text", "tag").mapInArrow(lambda it: _sets(it, width, threshold, shared.value), SETS), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("id", "tag")).alias("rep"))
-    classes = materialise(classes.select("h1", "h2", F.col("rep.id").alias("id"), F.col("rep.tag").alias("tag")), "classes")
-    reps = sets.join(classes, ["h1", "h2", "id", "tag"])
+    # a set's own number, fixed once written, names it in links: ids may be shared
+    classes = materialise(classes.select("h1", "h2", F.col("rep.id").alias("doc"), F.col("rep.tag").alias("tag"), F.monotonically_increasing_id().alias("id")), "classes")
+    reps = sets.withColumnRenamed("id", "doc").join(classes, ["h1", "h2", "doc", "tag"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(sets) // 16_000_000))
     dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens", release=True)
     ordinary = dealt.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "grp long, id long, n int")
@@ -326,14 +328,14 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
     star = banded.join(both, ["grp", "band"]).where(f"u != id AND least(m, n) * {q} >= greatest(m, n) * {p}")
     star = star.groupBy(F.col("u"), F.col("id").alias("v")).agg(F.max("n").alias("n"), F.max("m").alias("m"))
-    marks = materialise(reps.select("id", "tag", "bits").dropDuplicates(["id"]), "marks")
+    marks = materialise(reps.select("id", "doc", "tag", "bits").dropDuplicates(["id"]), "marks")
     bits = marks.select("id", "bits")
     star = star.join(bits.select(F.col("id").alias("u"), F.col("bits").alias("left")), "u").join(bits.select(F.col("id").alias("v"), F.col("bits").alias("right")), "v")
     star = materialise(star.select("u", "v", "n", "m", "left", "right").mapInArrow(lambda it: _possible(it, threshold), "u long, v long, n int"), "star")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(marks.select("id", "tag"), "id")
-        texts = materialise(docs.join(ids, ["id", "tag"]).dropDuplicates(["id", "tag"]).select("id", "text"), f"{name}-texts", release=True)
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(marks.select("id", "doc", "tag"), "id")
+        texts = materialise(docs.withColumnRenamed("id", "doc").join(ids, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("id", "text"), f"{name}-texts", release=True)
         return materialise(verify(pairs, texts, width, threshold), name)
 
     links = linked(star, "links")
@@ -351,17 +353,36 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti").join(sizes.withColumnRenamed("id", "u"), "u"), "pairs")
     every = links.unionByName(linked(pairs, "more"))
     final = components(every, "final")
-    known = classes.select("h1", "h2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    out = sets.select("id", "n", "h1", "h2").join(known, ["h1", "h2"], "left")
+    reps = classes.select("id", F.struct(F.col("doc").alias("id"), "tag").alias("rep"))
+    placed = final.withColumnRenamed("node", "id")
+    firsts = placed.join(reps, "id").groupBy("component").agg(F.min("rep").alias("first"))
+    placed = placed.join(firsts, "component").select("id", "first")
+    known = classes.select("h1", "h2", "id", F.struct(F.col("doc").alias("id"), "tag").alias("rep")).join(placed, "id", "left")
+    return sets, known.select("h1", "h2", F.coalesce("first", "rep").alias("first"))
+
+
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id of every text; linked texts have Jaccard similarity >= ``threshold``.
+
+    A null text and one without words have no shingles and link with nothing; one with fewer words than
+    ``width`` has its whole sequence as the only shingle. Equal sets are linked. Rows that share an id link each
+    by its own text; a null id is below all others and its component is null where it is the smallest; an
+    empty table gives no rows; other columns are ignored.
+    """
+    sets, known = _linked(df, id_col, text_col, width, threshold)
+    out = sets.select("id", "n", "h1", "h2").join(known.select("h1", "h2", F.col("first.id").alias("component")), ["h1", "h2"], "left")
     own = F.when(F.col("id") != NO_ID, F.col("id"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
     return out.select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """The rows, all columns as they are, of the smallest id of each group of linked texts; one row an id."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    groups = jaccard_join(df, id_col, text_col, width, threshold)
-    kept = groups.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key")).distinct()
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("key"))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    """The rows, all columns as they are, of the smallest id of each group of linked texts, one row a group.
+
+    Null and repeated ids are no link: rows that share one stay if their texts aren't linked. Rows without words
+    link with nothing; those of one id and text count as one.
+    """
+    sets, known = _linked(df, id_col, text_col, width, threshold)
+    kept = known.select("first.id", "first.tag").unionByName(sets.where("n = 0").select("id", "tag")).distinct()
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_key(id_col, text_col))
+    return rows.join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]).select("row.*")
