@@ -358,15 +358,15 @@ def spans(docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame], DataFrame]
     with the smallest id that has them. Where all settings of a core are one, every window is a repeat.
     ``earlier_only`` keeps windows that a smaller id has elsewhere; otherwise any repeat counts.
     """
-    found = materialise(occurrences(docs, unit, earlier_only), "occurrences", release=True)
+    found = materialise(occurrences(docs, unit, earlier_only), "occurrences")
     # first by core and setting, which the map side combines, so that a frequent core's occurrences never meet in one task
     first = [F.first(c).alias(c) for c in ("id", "tag", "back", "ahead")]
     classes = found.groupBy("f", "e").agg(F.sum(F.size("positions")).alias("copies"), F.min("id").alias("least"), F.first(F.get("positions", F.lit(0))).alias("pos"), *first)
-    classes = materialise(classes, "classes", release=True)
+    classes = materialise(classes, "classes")
     classes = classes.join(classes.groupBy("f").agg(F.count("*").alias("rivals")), "f")
     wanted = classes.where("rivals > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
     cut = docs.join(wanted, ["id", "tag"]).select("id", "text", "wanted").mapInArrow(lambda it: _snippets(it, unit), SNIPPETS)
-    resolved = materialise(resolve(cut), "resolved", release=True)
+    resolved = materialise(resolve(cut), "resolved")
     whole = F.array(F.struct((-F.col("back")).alias("first"), F.col("ahead").alias("last"), "least"))
     told = classes.where("rivals = 1").select("f", "e", whole.alias("windows")).unionByName(resolved)
     hit = found.select("f", "e", "id", "tag", "positions").join(told, ["f", "e"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-import time
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +63,15 @@ def task(owner: str) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share; set only where unset."""
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a local master, whose executors are the driver's own process, gets a folder of its own; on a
+    cluster there is no folder that could be guessed, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     _MADE.append(path := f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
@@ -86,20 +93,30 @@ def drop_tables(spark: SparkSession) -> int:
     return n
 
 
-def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there.
+#: Spark's own switch: the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    ``release`` lets Spark's cleaner drop the shuffle files that only led to the written table; otherwise they
-    stay until the driver happens to collect its garbage.
-    """
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: its lineage ends there, and so do its shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    if release:
-        time.sleep(1)  # until then the events of the write still refer to its plan
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing reads any more."""
+    spark, path = df.sparkSession, df._llm_path
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -196,15 +213,50 @@ def partitions_for(df_bytes: int, target: int = 64_000_000) -> int:
     return max(1, -(-df_bytes // target))
 
 
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of undirected edges and of each the smallest node it is joined with: hooking and pointer jumping."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+@task("components")
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task's edges as stars around the smallest node of each of its own components."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, least = least_labels(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+        n = len(nodes)
+        yield pa.record_batch([pa.array(nodes), pa.array(least), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))], names=["u", "v", "part"])
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """(node, component) of every node of undirected edges (u, v); component is its smallest reachable node.
 
-    Alternating large-star and small-star steps on the whole edge list, each a grouped minimum (combined before
-    the shuffle) and a join that AQE can split where a hub has most edges; each round is written to the shared
-    folder. Self-loops keep a lone node in the result.
+    Each task first contracts its own edges to stars, which leaves at most an edge a node and task; where one task
+    held all edges that is the answer. Else alternating large-star and small-star steps follow, each a grouped
+    minimum (combined before the shuffle) and a join that AQE can split where a hub has most edges; each round is
+    written to the shared folder. Self-loops keep a lone node in the result.
     """
-    spark = edges.sparkSession
-    pairs = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    distinct = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
+    local = materialise(distinct.mapInArrow(_contract, "u long, v long, part int"), f"{name}-0")
+    parts = local.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
+    if parts.a == parts.b:
+        return local.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    pairs = local.select("u", "v").distinct()
+    loops = pairs.where("u == v")
     state = None
     for k in range(rounds):
         both = pairs.where("u != v")
@@ -216,10 +268,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        pairs_next = materialise(small, f"{name}-{k + 1}")
-        now = pairs_next.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        loops = pairs.where("u == v") if k == 0 else loops
-        pairs = pairs_next
+        pairs = materialise(small, f"{name}-{k + 1}")
+        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == state:
             break
         state = (now.n, now.h)

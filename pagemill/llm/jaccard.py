@@ -2,10 +2,12 @@
 
 Equal sets become one. Candidates come from the prefix filter: in any common order of all shingles, two sets
 with Jaccard similarity t share one of their first n - ceil(t n) + 1. The order puts shingles first that are
-not frequent, so groups are small. A group's members are first compared with the smallest member of their size
-band; what that leaves in different components is compared pair by pair in tiles of one group, one pair of
-chunks and neighbouring size bands, where a bitmap of parities bounds the overlap from above. What passes is
-intersected exactly. No pair above the threshold is lost, and groups of copies cost one comparison a copy.
+not frequent, so groups are small. Bitmaps of parities bound the overlap from above: with the smallest member of a
+group's size band first, then, for what that leaves apart, pair by pair in tiles of one group, one pair of chunks
+and neighbouring size bands. A tile gives a spanning forest of the pairs its bitmaps allow, never the pairs, so
+all that may be linked ends up in one cluster with fewer edges than members. Inside a cluster, again in tiles,
+sorted arrays are intersected exactly wherever bitmaps allow it and nothing has joined the two sets yet, and a
+spanning forest of the links remains. No pair above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, word_bounds
 from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, task
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
-#: Counters of the frequency sketch, bits of a set's bitmap, members of a tile, shingles of a verification chunk.
-COUNTERS, BITS, TILE, CHUNK, STEP = 1 << 20, 1024, 1024, 400_000, 400_000
+#: Counters of the frequency sketch, bits of a set's bitmap, members of a chunk of a group, bytes of a step.
+COUNTERS, BITS, TILE, STEP = 1 << 20, 1024, 1024, 400_000
+#: Sets and shingles of a chunk of a cluster.
+MEMBERS, SHINGLES = 4_096, 1_000_000
 #: A counter is frequent from this share of a task's documents on; more than 2^20 shingles can't reach it by chance.
 FREQUENT = 0.002
 
@@ -213,91 +217,143 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- pairs
 
 
-@task("jaccard")
-def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile in different components whose sizes and bitmaps allow the threshold."""
-    p, q = threshold.numerator, threshold.denominator
-    for group in runs(batches, 4):
-        a, b = group.column(2)[0].as_py(), group.column(3)[0].as_py()
-        own, ids, comp, n = (group.column(k).to_numpy() for k in (4, 5, 6, 7))
-        order = np.argsort(n, kind="stable")
-        own, ids, comp, n = own[order], ids[order], comp[order], n[order].astype(np.int64)
-        raw = group.column(8).to_pylist()
-        raw = [raw[k] for k in order.tolist()]
-        # bitmaps lengthen with the size, so each length is a range of rows
+class Labels:
+    """Which rows are joined, as one label a row, so that whole blocks of rows are compared at once."""
+
+    def __init__(self, label: np.ndarray):
+        self.of = np.unique(label, return_inverse=True)[1]
+
+    def join(self, i: int, j: int) -> bool:
+        x, y = self.of[i], self.of[j]
+        if x != y:
+            self.of[self.of == x] = y
+        return x != y
+
+
+class Maps:
+    """Bitmaps of rows in ascending order of size: they lengthen with the size, so each length is a range of rows."""
+
+    def __init__(self, raw: list[bytes]):
         words = np.array([len(x) // 8 for x in raw])
         cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(words)]
-        maps = [(x, y, np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(y - x, -1)) for x, y in zip(cuts, cuts[1:], strict=False)]
-        us, vs = [], []
-        for x, y, left in maps:
-            block = int(np.clip(1_000_000 // (len(ids) * left.shape[1]), 1, 64))  # of at most 8 MB a step
+        self.parts = [(x, y, np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(y - x, -1)) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def allowed(self, n: np.ndarray, threshold: Fraction) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """Blocks (first row, its end, first other row) with the differing bits of each pair and whether sizes and bits allow the threshold."""
+        p, q = threshold.numerator, threshold.denominator
+        for x, y, left in self.parts:
+            block = int(np.clip(1_000_000 // (len(n) * left.shape[1]), 1, 64))  # of at most 8 MB a step
             for start in range(x, y, block):
                 stop = min(start + block, y)
                 end = int(np.searchsorted(n, n[stop - 1] * q // p, side="right"))
-                for x2, y2, right in maps:
+                for x2, y2, right in self.parts:
                     lo, hi = max(start, x2), min(end, y2)
                     if hi <= lo:
                         continue
                     near = np.bitwise_count(left[start - x : stop - x, None, :] ^ fold(right[lo - x2 : hi - x2], left.shape[1])[None]).sum(axis=2, dtype=np.int64)
                     total = n[start:stop, None] + n[None, lo:hi]
                     # overlap <= (total - differing bits) / 2, and similarity t needs overlap >= t / (1 + t) * total
-                    ok = (total - near) * (p + q) >= 2 * p * total
-                    ok &= (comp[start:stop, None] != comp[None, lo:hi]) & (n[start:stop, None] * q >= n[None, lo:hi] * p)
+                    ok = ((total - near) * (p + q) >= 2 * p * total) & (n[start:stop, None] * q >= n[None, lo:hi] * p)
                     ok &= np.arange(start, stop)[:, None] < np.arange(lo, hi)[None, :]
-                    if a != b:
-                        ok &= own[start:stop, None] != own[None, lo:hi]
-                    i, j = np.nonzero(ok)
-                    us.append(ids[i + start])
-                    vs.append(ids[j + lo])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+                    yield start, stop, lo, near, ok
+
+
+def _edges(us: list[int], vs: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+@task("jaccard")
+def _tiles(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of each tile (grp, band, a, b) a spanning forest of the pairs in different components whose sizes and bitmaps allow the threshold."""
+    for group in runs(batches, 4):
+        a, b = group.column(2)[0].as_py(), group.column(3)[0].as_py()
+        own, ids, comp, n = (group.column(k).to_numpy() for k in (4, 5, 6, 7))
+        order = np.argsort(n, kind="stable")
+        own, ids, n, labels = own[order], ids[order], n[order].astype(np.int64), Labels(comp[order])
+        raw = group.column(8).to_pylist()
+        us, vs = [], []
+        for start, stop, lo, _, ok in Maps([raw[k] for k in order.tolist()]).allowed(n, threshold):
+            ok &= labels.of[start:stop, None] != labels.of[None, lo : lo + ok.shape[1]]
+            if a != b:
+                ok &= own[start:stop, None] != own[None, lo : lo + ok.shape[1]]
+            i, j = np.nonzero(ok)
+            i, j = i + start, j + lo
+            # one pair stands for all that would join the same two labels
+            first = np.unique(labels.of[i] * len(n) + labels.of[j], return_index=True)[1]
+            for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                if labels.join(x, y):
+                    us.append(int(ids[x]))
+                    vs.append(int(ids[y]))
+        yield _edges(us, vs)
 
 
 @task("jaccard")
 def _possible(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """The rows (u, v, n, m, bits of u, bits of v) whose bitmaps allow the threshold, without the bitmaps."""
+    """The rows (u, v, n, m, bits of u, bits of v) whose bitmaps allow the threshold, as (u, v)."""
     p, q = threshold.numerator, threshold.denominator
     for batch in batches:
-        differ = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+        left, right = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        differ = np.zeros(batch.num_rows, np.int64)
+        lengths = np.array([len(x) << 32 | len(y) for x, y in zip(left, right, strict=True)], np.int64)
+        for pair in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == pair)
+            x, y = (np.frombuffer(b"".join(side[k] for k in own.tolist()), np.uint64).reshape(len(own), -1) for side in (left, right))
+            words = min(x.shape[1], y.shape[1])
+            differ[own] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum(axis=1, dtype=np.int64)
         total = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-        yield batch.select([0, 1, 2]).filter(pa.array((total - differ) * (p + q) >= 2 * p * total))
+        yield batch.select([0, 1]).filter(pa.array((total - differ) * (p + q) >= 2 * p * total))
 
 
-@task("jaccard")
-def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
-    """Of each chunk (hub, chunk): the members whose set has the threshold's similarity with the hub's."""
-    p, q = threshold.numerator, threshold.denominator
-    for group in runs(batches, 2):
-        table = group.combine_chunks()
-        hub: np.ndarray | None = None
-        us, vs = [], []
-        for batch in table.to_batches():
-            for part, data, offsets in pieces(batch, "text", limit=STEP):
-                h, bounds = shingle_hashes(data, offsets, width)
-                sets = [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                members = part.column(3).to_numpy()
-                if hub is None:  # the hub's own row sorts first
-                    hub, hub_bits, sets, members = sets[0], bitmap(sets[0]), sets[1:], members[1:]
-                name = group.column(0)[0].as_py()
-                for s, m in zip(sets, members.tolist(), strict=True):
-                    total = len(s) + len(hub)
-                    if (total - differing(bitmap(s), hub_bits)) * (p + q) < 2 * p * total:
-                        continue
-                    common = len(np.intersect1d(s, hub, assume_unique=True))
-                    if q * common >= p * (total - common):
-                        us.append(name)
-                        vs.append(m)
-        yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+def similar(s: np.ndarray, t: np.ndarray, threshold: Fraction) -> bool:
+    """Whether two sorted sets have the threshold's similarity, by looking the smaller one's members up in the other."""
+    if len(s) > len(t):
+        s, t = t, s
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    common = int(np.count_nonzero(t[at] == s))
+    return threshold.denominator * common >= threshold.numerator * (len(s) + len(t) - common)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Links among pairs (u, v, n): each hub u meets its members in chunks, of about CHUNK shingles, of its own."""
-    chunks = pairs.groupBy("u").agg(F.ceil(F.count("*") * F.max("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("chunk"), "v")
-    members = dealt.join(texts.withColumnRenamed("id", "v"), "v").select("u", "chunk", F.lit(1).alias("role"), "v", "text")
-    hubs = chunks.join(texts.withColumnRenamed("id", "u"), "u").select("u", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("u").alias("v"), "text")
-    together = hubs.unionByName(members).repartition("u", "chunk").sortWithinPartitions("u", "chunk", "role")
-    return together.mapInArrow(lambda it: _verify(it, width, threshold), "u long, v long")
+@task("jaccard")
+def _exact(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of each tile (cluster, a, b) a spanning forest of its links: bitmaps first, then sorted sets, and only between rows not yet joined."""
+    for group in runs(batches, 3):
+        a, b = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        own, ids, comp = (group.column(k).to_numpy() for k in (3, 4, 5))
+        if not (comp != comp[0]).any():
+            continue
+        sets: list[np.ndarray] = []
+        for batch in group.to_batches():
+            for _, data, offsets in pieces(batch, "text", limit=STEP):
+                h, bounds = shingle_hashes(data, offsets, width)
+                sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        own, ids, labels, sets = own[order], ids[order], Labels(comp[order]), [sets[k] for k in order.tolist()]
+        us, vs = [], []
+        for start, stop, lo, near, ok in Maps([bitmap(s).tobytes() for s in sets]).allowed(np.array([len(s) for s in sets], np.int64), threshold):
+            if a != b:
+                ok &= own[start:stop, None] != own[None, lo : lo + ok.shape[1]]
+            for x in np.flatnonzero(ok.any(axis=1)).tolist():
+                others = np.flatnonzero(ok[x])
+                # the nearest first: what they join needs no comparison
+                for y in (others[np.argsort(near[x, others], kind="stable")] + lo).tolist():
+                    i = x + start
+                    if labels.of[i] != labels.of[y] and similar(sets[i], sets[y], threshold):
+                        labels.join(i, y)
+                        us.append(int(ids[i]))
+                        vs.append(int(ids[y]))
+        yield _edges(us, vs)
+
+
+def verified(clusters: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Links (u, v), a spanning forest a tile, inside clusters (cluster, id, n, component): every pair of a cluster's sets
+    in different components is compared. A tile has two chunks of at most about MEMBERS sets and SHINGLES shingles."""
+    chunks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
+    rows = clusters.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(texts, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = rows.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "component", "text")
+    tiles = tiles.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
+    return tiles.mapInArrow(lambda it: _exact(it, width, threshold), "u long, v long")
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -318,9 +374,9 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     classes = materialise(classes.select("h1", "h2", F.col("rep.id").alias("doc"), F.col("rep.tag").alias("tag"), F.monotonically_increasing_id().alias("id")), "classes")
     reps = sets.withColumnRenamed("id", "doc").join(classes, ["h1", "h2", "doc", "tag"])
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(sets) // 16_000_000))
-    dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens", release=True)
+    dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens")
     ordinary = dealt.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "grp long, id long, n int")
-    groups = materialise(ordinary.unionByName(dealt.where("bucket < 0").select("grp", "id", "n")).distinct(), "groups", release=True)
+    groups = materialise(ordinary.unionByName(dealt.where("bucket < 0").select("grp", "id", "n")).distinct(), "groups")
     p, q = threshold.numerator, threshold.denominator
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(q / p))).cast("int")
     banded = groups.withColumn("band", band)
@@ -328,18 +384,12 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     both = heads.unionByName(heads.withColumn("band", F.col("band") + 1))
     star = banded.join(both, ["grp", "band"]).where(f"u != id AND least(m, n) * {q} >= greatest(m, n) * {p}")
     star = star.groupBy(F.col("u"), F.col("id").alias("v")).agg(F.max("n").alias("n"), F.max("m").alias("m"))
-    marks = materialise(reps.select("id", "doc", "tag", "bits").dropDuplicates(["id"]), "marks")
+    marks = materialise(reps.select("id", "n", "doc", "tag", "bits").dropDuplicates(["id"]), "marks")
     bits = marks.select("id", "bits")
     star = star.join(bits.select(F.col("id").alias("u"), F.col("bits").alias("left")), "u").join(bits.select(F.col("id").alias("v"), F.col("bits").alias("right")), "v")
-    star = materialise(star.select("u", "v", "n", "m", "left", "right").mapInArrow(lambda it: _possible(it, threshold), "u long, v long, n int"), "star")
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(marks.select("id", "doc", "tag"), "id")
-        texts = materialise(docs.withColumnRenamed("id", "doc").join(ids, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("id", "text"), f"{name}-texts", release=True)
-        return materialise(verify(pairs, texts, width, threshold), name)
-
-    links = linked(star, "links")
-    found = materialise(components(links, "first"), "first")
+    star = star.select("u", "v", "n", "m", "left", "right").mapInArrow(lambda it: _possible(it, threshold), "u long, v long")
+    star = materialise(star, "star")
+    found = components(star, "first")
     placed = groups.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_groups = placed.groupBy("grp").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.ceil(F.count("*") / TILE).cast("int").alias("chunks")).where("c0 != c1").select("grp", "chunks")
     rest = placed.join(open_groups, "grp").join(bits, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -347,12 +397,13 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     rest = rest.withColumn("band", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).otherwise(F.array(band, band + 1)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiles = rest.select("grp", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "component", "n", "bits")
     tiles = tiles.repartition("grp", "band", "a", "b").sortWithinPartitions("grp", "band", "a", "b")
-    pairs = tiles.mapInArrow(lambda it: _tiles(it, threshold), "u long, v long").distinct()
-    tested = star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    sizes = groups.groupBy("id").agg(F.max("n").alias("n"))
-    pairs = materialise(pairs.join(tested, ["u", "v"], "left_anti").join(sizes.withColumnRenamed("id", "u"), "u"), "pairs")
-    every = links.unionByName(linked(pairs, "more"))
-    final = components(every, "final")
+    allowed = materialise(star.unionByName(tiles.mapInArrow(lambda it: _tiles(it, threshold), "u long, v long")), "allowed")
+    # every pair that may be linked is inside one cluster of allowed pairs, so each set's text is fetched once
+    clusters = components(allowed, "clusters").withColumnRenamed("node", "id").withColumnRenamed("component", "cluster").join(marks.select("id", "n", "doc", "tag"), "id")
+    clusters = materialise(clusters, "clusters")
+    texts = docs.withColumnRenamed("id", "doc").join(clusters.select("id", "doc", "tag"), ["doc", "tag"]).dropDuplicates(["id"]).select("id", "text")
+    links = materialise(verified(clusters.select("cluster", "id", "n", F.col("id").alias("component")), texts, width, threshold), "links")
+    final = components(links, "final")
     reps = classes.select("id", F.struct(F.col("doc").alias("id"), "tag").alias("rep"))
     placed = final.withColumnRenamed("node", "id")
     firsts = placed.join(reps, "id").groupBy("component").agg(F.min("rep").alias("first"))
