@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles at once; a longer single text is one step of its own.
@@ -24,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
-def small_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Bound the Arrow batches that hold whole texts: a batch has ``rows`` rows at most."""
+def small_batches(spark: SparkSession, rows: int = 400, size: str = "4m") -> None:
+    """Bound the session's Arrow batches, which hold whole texts: ``rows`` rows and about ``size`` bytes, or one longer text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 #: What to call when another operator's tasks come to a worker: Spark keeps workers, and their caches, between jobs.
@@ -52,7 +51,6 @@ def task(owner: str) -> Callable:
             try:
                 yield from run(*args, **kwargs)
             finally:
-                gc.collect()
                 pa.default_memory_pool().release_unused()
                 if hasattr(_LIBC, "malloc_trim"):
                     _LIBC.malloc_trim(0)
@@ -130,6 +128,22 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
 
+def tags(text: Column) -> list[Column]:
+    """128 bits of a text: with the id they name a row, whatever ids it shares."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls and its offsets, without a Python object a row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    buffer = column.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with their texts' UTF-8 bytes and offsets (len rows + 1); a null text is empty.
 
@@ -232,30 +246,33 @@ def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             label = up
 
 
+#: Edges (16 bytes each) that one task may solve.
+ONE_TASK = 2_000_000
+
+
 @task("components")
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The task's edges as stars around the smallest node of each of its own components."""
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
     if held:
         nodes, least = least_labels(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
-        n = len(nodes)
-        yield pa.record_batch([pa.array(nodes), pa.array(least), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))], names=["u", "v", "part"])
+        for k in range(0, len(nodes), 100_000):
+            yield pa.record_batch([pa.array(nodes[k : k + 100_000]), pa.array(least[k : k + 100_000])], names=["u", "v"])
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rounds: int = 40, bound: int = ONE_TASK) -> DataFrame:
     """(node, component) of every node of undirected edges (u, v); component is its smallest reachable node.
 
-    Each task first contracts its own edges to stars, which leaves at most an edge a node and task; where one task
-    held all edges that is the answer. Else alternating large-star and small-star steps follow, each a grouped
-    minimum (combined before the shuffle) and a join that AQE can split where a hub has most edges; each round is
-    written to the shared folder. Self-loops keep a lone node in the result.
+    Each task first contracts its own edges to stars, which leaves at most an edge a node and task. As many as
+    ``bound`` of them, by their count, are solved in one task. Else alternating large-star and small-star steps
+    follow, each a grouped minimum (combined before the shuffle) and a join that AQE can split where a hub has most
+    edges; each round is written to the shared folder. Self-loops keep a lone node in the result.
     """
     distinct = edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct()
-    local = materialise(distinct.mapInArrow(_contract, "u long, v long, part int"), f"{name}-0")
-    parts = local.agg(F.min("part").alias("a"), F.max("part").alias("b")).first()
-    if parts.a == parts.b:
-        return local.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    pairs = local.select("u", "v").distinct()
+    local = materialise(distinct.mapInArrow(_contract, "u long, v long"), f"{name}-0")
+    if local.count() <= bound:
+        return materialise(local.repartition(1).mapInArrow(_contract, "node long, component long"), f"{name}-1")
+    pairs = local.distinct()
     loops = pairs.where("u == v")
     state = None
     for k in range(rounds):

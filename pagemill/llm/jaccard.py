@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, word_bounds
-from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, task
+from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, tags, task
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
 #: Counters of the frequency sketch, bits of a set's bitmap, members of a chunk of a group, bytes of a step.
@@ -111,7 +111,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
-SETS = "id long, tag struct<a: long, b: long>, n int, h1 long, h2 long, prefix binary, bits binary"
+SETS = "id long, tag struct<t1: long, t2: long>, n int, h1 long, h2 long, prefix binary, bits binary"
 
 
 @task("jaccard")
@@ -319,16 +319,14 @@ def _exact(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -
     """Of each tile (cluster, a, b) a spanning forest of its links: bitmaps first, then sorted sets, and only between rows not yet joined."""
     for group in runs(batches, 3):
         a, b = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-        own, ids, comp = (group.column(k).to_numpy() for k in (3, 4, 5))
-        if not (comp != comp[0]).any():
-            continue
+        own, ids = (group.column(k).to_numpy() for k in (3, 4))
         sets: list[np.ndarray] = []
         for batch in group.to_batches():
             for _, data, offsets in pieces(batch, "text", limit=STEP):
                 h, bounds = shingle_hashes(data, offsets, width)
                 sets += [np.unique(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         order = np.argsort([len(s) for s in sets], kind="stable")
-        own, ids, labels, sets = own[order], ids[order], Labels(comp[order]), [sets[k] for k in order.tolist()]
+        own, ids, labels, sets = own[order], ids[order], Labels(np.arange(len(ids))), [sets[k] for k in order.tolist()]
         us, vs = [], []
         for start, stop, lo, near, ok in Maps([bitmap(s).tobytes() for s in sets]).allowed(np.array([len(s) for s in sets], np.int64), threshold):
             if a != b:
@@ -345,13 +343,18 @@ def _exact(batches: Iterator[pa.RecordBatch], width: int, threshold: Fraction) -
         yield _edges(us, vs)
 
 
-def verified(clusters: DataFrame, texts: DataFrame, width: int, threshold: Fraction) -> DataFrame:
-    """Links (u, v), a spanning forest a tile, inside clusters (cluster, id, n, component): every pair of a cluster's sets
-    in different components is compared. A tile has two chunks of at most about MEMBERS sets and SHINGLES shingles."""
+def verified(clusters: DataFrame, docs: DataFrame, width: int, threshold: Fraction) -> DataFrame:
+    """Links (u, v), a spanning forest a tile, inside clusters (cluster, id, n, doc, tag): every pair of a cluster's sets is compared.
+
+    A tile has two chunks of at most about MEMBERS sets and SHINGLES shingles. Texts are joined in by sorting at
+    every size: a broadcast of the members would only do for small tables.
+    """
     chunks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") / SHINGLES)).cast("int").alias("chunks"))
-    rows = clusters.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).join(texts, "id")
+    members = clusters.join(chunks, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = members.select("cluster", "chunks", "own", F.col("id").alias("set"), F.col("doc").alias("id"), "tag")
+    rows = docs.select("id", "tag", "text").dropDuplicates(["id", "tag"]).join(members.hint("merge"), ["id", "tag"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = rows.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "component", "text")
+    tiles = rows.select("cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "set", "text")
     tiles = tiles.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")
     return tiles.mapInArrow(lambda it: _exact(it, width, threshold), "u long, v long")
 
@@ -359,7 +362,7 @@ def verified(clusters: DataFrame, texts: DataFrame, width: int, threshold: Fract
 def _key(id_col: str, text_col: str) -> list[Column]:
     """id (a null one as the least long) and tag, 128 bits of the text: together they name a row, whatever ids it shares."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tag = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    tag = F.struct(*tags(text))
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), tag.alias("tag")]
 
 
@@ -401,8 +404,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     # every pair that may be linked is inside one cluster of allowed pairs, so each set's text is fetched once
     clusters = components(allowed, "clusters").withColumnRenamed("node", "id").withColumnRenamed("component", "cluster").join(marks.select("id", "n", "doc", "tag"), "id")
     clusters = materialise(clusters, "clusters")
-    texts = docs.withColumnRenamed("id", "doc").join(clusters.select("id", "doc", "tag"), ["doc", "tag"]).dropDuplicates(["id"]).select("id", "text")
-    links = materialise(verified(clusters.select("cluster", "id", "n", F.col("id").alias("component")), texts, width, threshold), "links")
+    links = materialise(verified(clusters, docs, width, threshold), "links")
     final = components(links, "final")
     reps = classes.select("id", F.struct(F.col("doc").alias("id"), "tag").alias("rep"))
     placed = final.withColumnRenamed("node", "id")
@@ -436,4 +438,4 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sets, known = _linked(df, id_col, text_col, width, threshold)
     kept = known.select("first.id", "first.tag").unionByName(sets.where("n = 0").select("id", "tag")).distinct()
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *_key(id_col, text_col))
-    return rows.join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]).select("row.*")
+    return rows.join(kept.hint("merge"), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]).select("row.*")
