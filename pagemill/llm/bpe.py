@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,7 +25,9 @@ from pagemill.llm.common import CLEAR, id_text, task
 from pagemill.llm.tokencount import PATTERN, PLAIN_PATTERN, plain
 
 CACHE_ENTRIES = 300_000
-LEAF = 3
+#: Bytes of the smallest tree nodes, of windows merged one by one; bytes of remembered nodes of one match; tokens decoded as one node.
+LEAF, FEW, REMEMBERED, BLOCK = 3, 64, 32_000_000, 256
+NONE = np.iinfo(np.int64).max
 
 
 class MonoidBPE:
@@ -32,11 +36,14 @@ class MonoidBPE:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.vocab = {i: b for b, i in ranks.items()}
+        self.single = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def leaf(self, data: bytes) -> tuple[int, ...]:
         """Plain BPE: merge the adjacent parts of the lowest rank, leftmost first, until none has a rank."""
+        if len(data) > FEW:
+            return self._by_rank(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -50,6 +57,67 @@ class MonoidBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(ranks[p] for p in parts)
 
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens put together, NONE where they are no token."""
+        pairs, at = np.unique(a << np.int64(32) | b, return_inverse=True)
+        found = [self.ranks.get(self.vocab[p >> 32] + self.vocab[p & 0xFFFFFFFF], NONE) for p in pairs.tolist()]
+        return np.array(found, np.int64)[at]
+
+    def _by_rank(self, data: bytes) -> tuple[int, ...]:
+        """``leaf`` for long windows, which are mostly runs and periods: all merges of the lowest rank are one step.
+
+        That is the plain order as long as no step makes a pair of a lower rank than its own; if one does, the
+        window goes to ``_by_heap``.
+        """
+        ranks = self.ranks
+        tokens = self.single[np.frombuffer(data, np.uint8)]
+        rank = self._pair_ranks(tokens[:-1], tokens[1:])
+        while len(rank):
+            low = rank.min()
+            if low == NONE:
+                break
+            hit = np.flatnonzero(rank == low)
+            # of pairs that overlap in a chain every other one, from the left
+            new = np.append(True, np.diff(hit) > 1)
+            first = hit[new]
+            place = hit - np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(hit))))
+            hit = hit[place % 2 == 0]
+            tokens[hit] = low
+            tokens = np.delete(tokens, hit + 1)
+            at = hit - np.arange(len(hit))
+            rank = np.delete(rank, hit)
+            # the pairs beside what was merged
+            beside = np.unique(np.concatenate([at - 1, at]))
+            beside = beside[(beside >= 0) & (beside < len(rank))]
+            fresh = self._pair_ranks(tokens[beside], tokens[beside + 1]) if len(beside) else np.zeros(0, np.int64)
+            if len(fresh) and fresh.min() < low:
+                return self._by_heap(data)
+            rank[beside] = fresh
+        return tuple(tokens.tolist())
+
+    def _by_heap(self, data: bytes) -> tuple[int, ...]:
+        """``leaf`` with a heap of pairs over a linked list."""
+        ranks, n = self.ranks, len(data)
+        parts: list[bytes | None] = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, data[i : i + 2]) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, whole = heapq.heappop(heap)
+            j = after[i]
+            # stale where either part has changed since
+            if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(whole) or parts[i] + parts[j] != whole:
+                continue
+            parts[i], parts[j] = whole, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(whole + parts[k])) is not None:
+                    heapq.heappush(heap, (r, i, whole + parts[k]))
+            if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + whole)) is not None:
+                heapq.heappush(heap, (r, h, parts[h] + whole))
+        return tuple(ranks[p] for p in parts if p is not None)
+
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens' bytes together encode to just these two tokens."""
         key = (a, b)
@@ -86,21 +154,46 @@ class MonoidBPE:
         known = self.memo.get(data)
         if known is not None:
             return known
+        return self._node(data, self.memo) if len(data) <= 16 else self._long(data)
+
+    def _node(self, data: bytes, memo: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
         n = len(data)
-        if n <= LEAF:
-            out = self.leaf(data)
-        else:
-            half = n // 2
-            out = self.join(self.encode(data[:half]), self.encode(data[half:]))
-        if n <= 16:
-            if len(self.memo) > CACHE_ENTRIES:
-                self.memo.clear()
-            self.memo[data] = out
+        half = n // 2
+        out = self.leaf(data) if n <= LEAF else self.join(self.encode(data[:half]), self.encode(data[half:]))
+        if len(memo) > CACHE_ENTRIES:
+            memo.clear()
+        memo[data] = out
         return out
 
-    def decode(self, ids: list[int] | tuple[int, ...]) -> bytes:
-        """Bytes of a token sequence: the tree's concatenation, which being associative is one flat join."""
-        return b"".join(map(self.vocab.__getitem__, ids))
+    def _long(self, data: bytes) -> tuple[int, ...]:
+        """The tree over a long match; equal nodes, as runs and periods have, are encoded once while their bytes fit the bound."""
+        seen: dict[bytes, tuple[int, ...]] = {}
+        held = 0
+
+        def node(part: bytes) -> tuple[int, ...]:
+            nonlocal held
+            if len(part) <= 16:
+                return self.encode(part)
+            out = seen.get(part)
+            if out is None:
+                half = len(part) // 2
+                out = self.join(node(part[:half]), node(part[half:]))
+                held += len(part)
+                if held > REMEMBERED:
+                    seen.clear()
+                    held = len(part)
+                seen[part] = out
+            return out
+
+        return node(data)
+
+    def decode(self, ids: list[int] | tuple[int, ...] | memoryview) -> bytes:
+        """Bytes of a token sequence, up the tree: blocks of tokens, then neighbours, level by level."""
+        vocab = self.vocab.__getitem__
+        level = [b"".join(map(vocab, ids[k : k + BLOCK])) for k in range(0, len(ids), BLOCK)]
+        while len(level) > 1:
+            level = [b"".join(level[k : k + 2]) for k in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 @lru_cache(maxsize=2)
