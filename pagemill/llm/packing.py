@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import CLEAR, id_text, materialise, task
-from pagemill.llm.tokencount import NUMBERS, SPACE, _tokenizer, byte_letters, plain, spelled
+from pagemill.llm.tokencount import NUMBERS, SPACE, Splitter, _tokenizer, byte_letters, plain, spelled
 
 # What the tokenizer's own pre-tokeniser keeps, for code points up to PLAIN.
 WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W_{NUMBERS}]+|[{NUMBERS}]|(?:[^\w{SPACE}]|_)+"
 
 CAPACITY, BINS, DEPTH = 2048, 256, 3
+#: Steepest patterns that may join a fit, and the unfitted share of pieces below which none does.
+ROUNDS, UNFITTED = 400, 0.002
 CACHE_ENTRIES = 400_000
 
 
@@ -52,10 +54,11 @@ def patterns(bins: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(a: np.ndarray, y: np.ndarray, rounds: int | None = None) -> np.ndarray:
+def nnls(a: np.ndarray, y: np.ndarray, rounds: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
     """Least squares under x >= 0 by active sets: free the steepest variable, step back where one turns negative."""
     m, n = a.shape
-    x, free = np.zeros(n), np.zeros(n, bool)
+    x = np.zeros(n) if start is None else start.copy()
+    free = x > 0
     gradient = a.T @ (y - a @ x)
     for _ in range(rounds or 3 * m):
         candidates = np.where(~free, gradient, -np.inf)
@@ -65,7 +68,9 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int | None = None) -> np.ndarray:
         free[k] = True
         while True:
             idx = np.flatnonzero(free)
-            s = np.linalg.lstsq(a[:, idx], y, rcond=None)[0]
+            own = a[:, idx]
+            # columns may depend on each other: a trace of ridge keeps the small system solvable
+            s = np.linalg.solve(own.T @ own + 1e-10 * np.eye(len(idx)), own.T @ y)
             if s.min() > 1e-12:
                 x[:] = 0
                 x[idx] = s
@@ -82,22 +87,70 @@ def nnls(a: np.ndarray, y: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of the pieces of a sequence, number of such sequences); every piece of the histogram is in one of them."""
+def steepest(residual: np.ndarray, full: bool = True) -> tuple[int, ...]:
+    """Of all patterns of any number of pieces that fill the bins, exactly or (not ``full``) at most, the one along which the
+    fit gains most: a knapsack."""
+    bins = len(residual)
+    best, last = np.full(bins + 1, -np.inf), np.zeros(bins + 1, np.int64)
+    best[0] = 0
+    for s in range(1, bins + 1):
+        gain = best[s - 1 :: -1] + residual[:s]
+        last[s] = k = int(np.argmax(gain))
+        best[s] = gain[k]
+    out, s = [], bins if full else int(np.argmax(best))
+    while s:
+        out.append(int(last[s]) + 1)
+        s -= out[-1]
+    return tuple(sorted(out, reverse=True))
+
+
+def fitted(y: np.ndarray, depth: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns and their repeats, fitted to the share ``y`` of pieces in each bin.
+
+    First all patterns of at most ``depth`` pieces. Short pieces need longer patterns, too many to list: while a
+    noticeable share of pieces is unfitted, the steepest pattern of any length joins the fit; last ones that leave
+    room, for pieces that nothing in the histogram could fill up.
+    """
+    bins = len(y)
+    kinds = patterns(bins, depth)
+
+    def column(kind: tuple[int, ...]) -> np.ndarray:
+        return np.bincount(np.array(kind) - 1, minlength=bins).astype(float)
+
+    a = np.array([column(k) for k in kinds]).T
+    x = nnls(a, y)
+    used = np.flatnonzero(x > 0)
+    kinds, a, x = [kinds[k] for k in used], a[:, used], x[used]
+    full = True
+    for _ in range(rounds):
+        residual = y - a @ x if len(kinds) else y
+        if np.abs(residual).sum() < UNFITTED:
+            break
+        kind = steepest(residual if full else np.maximum(residual, 0), full)
+        if kind in kinds or not kind or residual @ column(kind) < 1e-6:
+            if not full:
+                break
+            full = False
+            continue
+        kinds, a, x = [*kinds, kind], np.column_stack([a, column(kind)]), np.append(x, 0.0)
+        x = nnls(a, y, 1, x)
+        kinds, a, x = [k for k, v in zip(kinds, x, strict=True) if v > 0], a[:, x > 0], x[x > 0]
+    return list(zip(kinds, x.tolist(), strict=True))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH, told: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of the pieces of a sequence, number of such sequences); every piece of the histogram is in one of them.
+
+    ``told`` gets the number of pieces that patterns placed.
+    """
     bins = min(bins, capacity)
     left = {n: c for n, c in histogram.items() if c > 0}
     width = -(-capacity // bins)
-    by_bin: dict[int, list[int]] = {}
-    for n in sorted(left, reverse=True):
-        by_bin.setdefault(-(-n // width), []).append(n)
-    kinds = patterns(capacity // width, depth)
-    a = np.zeros((capacity // width, len(kinds)))
-    for j, kind in enumerate(kinds):
-        for b in kind:
-            a[b - 1, j] += 1
     total = sum(left.values())
-    y = np.array([sum(left[n] for n in by_bin.get(b + 1, ())) for b in range(len(a))], float)
-    fit = nnls(a, y / max(total, 1)) * total
+    y = np.zeros(capacity // width)
+    for n, c in left.items():
+        y[-(-n // width) - 1] += c
+    fit = sorted(fitted(y / max(total, 1), depth), key=lambda f: (-f[1], f[0]))
     open_by_slack: list[list[list]] = [[] for _ in range(capacity + 1)]
     done: list[tuple[tuple[int, ...], int]] = []
 
@@ -108,25 +161,30 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS,
         else:
             done.append((lengths, n))
 
-    for j in np.argsort(-fit, kind="stable"):
-        repeats = int(fit[j] + 1e-6)
+    def repeat(kind: tuple[int, ...], repeats: int) -> None:
         while repeats > 0:
-            taken, runs, used = [], repeats, {}
-            for b in kinds[j]:
+            taken, used = [], {}
+            for k, b in enumerate(kind):
                 # the last place takes the longest piece that still fits, so a bin's width isn't lost as a gap
-                at = min(b * width, capacity) if len(taken) + 1 < len(kinds[j]) else capacity - sum(taken)
+                room = capacity - sum(taken)
+                at = min(b * width, room) if k + 1 < len(kind) else room
                 n = next((n for n in range(at, (b - 1) * width, -1) if left.get(n, 0) > used.get(n, 0)), None)
+                if n is None:  # exact lengths of this bin have run out: the nearest that fits
+                    n = next((n for d in range(1, width + 1) for n in (b * width + d, (b - 1) * width + 1 - d) if 0 < n <= room and left.get(n, 0) > used.get(n, 0)), None)
                 if n is None:
-                    break
+                    return
                 used[n] = used.get(n, 0) + 1
                 taken.append(n)
-            if len(taken) < len(kinds[j]):  # the fit overshoots here: a pattern with a gap is left to the residuals
-                break
             runs = min([repeats, *(left[n] // k for n, k in used.items())])
             for n, k in used.items():
                 left[n] -= runs * k
             put(tuple(taken), runs)
             repeats -= runs
+
+    for kind, x in fit:
+        repeat(kind, int(x * total + 1e-6))
+    if told is not None:
+        told["by_patterns"] = total - sum(left.values())
     for n in sorted((n for n, c in left.items() if c), reverse=True):
         count = left[n]
         while count:
@@ -168,21 +226,45 @@ def places(sequences: list[tuple[tuple[int, ...], int]], capacity: int = CAPACIT
 
 
 class WordIds(dict):
-    """Pre-token to packed little-endian ids of one tokenizer, kept up to a bound."""
+    """Pre-token to packed little-endian ids of one tokenizer, kept up to a bound; the keys of ``pieces`` are in byte letters."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.model, self.letters = _tokenizer(path).model, dict(enumerate(byte_letters()))
+        self.splitter, self.model, self.letters = Splitter(path), _tokenizer(path).model, dict(enumerate(byte_letters()))
+        self.pieces: dict[str, bytes] = {}
+
+    def encoded(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(spelled(word, self.letters))]
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.encoded(spelled(word, self.letters))
         if len(word) <= 64:
             if len(self) > CACHE_ENTRIES:
                 self.clear()
             self[word] = out
         return out
 
+    def piece(self, piece: str) -> bytes:
+        out = self.pieces.get(piece)
+        if out is None:
+            out = self.encoded(piece)
+            if len(piece) <= 64:
+                if len(self.pieces) > CACHE_ENTRIES:
+                    self.pieces.clear()
+                self.pieces[piece] = out
+        return out
+
+    def part(self, text: str) -> bytes:
+        """The ids of a text without special strings: a plain one by pattern, any other by the library's own normaliser and pre-tokeniser."""
+        if not text:
+            return b""
+        if plain(text) and "İ" not in text:
+            return b"".join(map(self.__getitem__, _FIND(text.lower())))
+        tokenizer = self.splitter.tokenizer
+        normal = tokenizer.normalizer.normalize_str(text)
+        return b"".join(self.piece(p) for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+
 
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordIds:
@@ -193,10 +275,14 @@ CLEAR["packing"] = [_words.cache_clear, _tokenizer.cache_clear]
 
 
 def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as the tokenizer gives them, packed; a plain text word by word, any other by the library."""
-    if plain(text) and "İ" not in text and "<|" not in text:
-        return b"".join(map(_words(path).__getitem__, _FIND(text.lower())))
-    return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    """The ids of a text as the tokenizer gives them, packed; a special string is one id."""
+    words = _words(path)
+    parts = words.splitter.parts(text)
+    if len(parts) == 1:
+        return words.part(text)
+    found = words.splitter.cut.findall(text)
+    marks = [struct.pack("<I", words.splitter.specials[s]) for s in found]
+    return b"".join(words.part(p) + m for p, m in zip(parts, [*marks, b""], strict=True))
 
 
 _FIND = re.compile(WORDS).findall

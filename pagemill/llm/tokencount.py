@@ -1,23 +1,27 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table of the lengths of frequent pre-tokens, of fixed size. Tier two is a cache in
-each Python worker; what neither holds is encoded there and then. No pre-token is ever shuffled.
+Tier one is a broadcast table of the lengths of frequent pre-tokens, of fixed size: sorted hashes and lengths.
+Tier two is a cache in each Python worker; what neither holds is encoded there and then. No pre-token is ever
+shuffled: which are frequent is counted over all texts in sketches of bounded size, one a task, and those are merged.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pagemill.llm.common import CLEAR, id_text, task
+from pagemill.llm.common import CLEAR, id_text, runs, task
 
 # The pre-token pattern of byte-level BPE, with Unicode's White_Space written out.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -28,9 +32,10 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 NUMBERS = r"\d²³¹¼½¾"
 PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W_{NUMBERS}]+| ?[{NUMBERS}]+| ?(?:[^\w{SPACE}]|_)+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
-TABLE_SIZE, TABLE_ROWS, TABLE_TEXT = 32_768, 2_000, 65_536
+#: Pre-tokens of the table and of a sketch, at most; sketches that the driver merges.
+TABLE_SIZE, SKETCH, MERGED = 32_768, 16_384, 64
 CACHE_ENTRIES = 400_000
-#: Texts with code points past these may be classed otherwise by another Unicode version: the library takes them whole.
+#: Code points past these may be classed otherwise by another Unicode version: such texts are split by the library's own rules.
 PLAIN = "ɏ"
 
 
@@ -56,20 +61,45 @@ def spelled(word: str, letters: dict[int, str]) -> str:
     return word.encode("utf-8").decode("latin-1").translate(letters)
 
 
+def unspelled(piece: str) -> str:
+    """The text of a piece in byte letters; bytes of a character that the library cut in two stay as they are."""
+    return bytes(_letter_bytes()[c] for c in piece).decode("utf-8", "surrogateescape")
+
+
+@lru_cache(maxsize=1)
+def _letter_bytes() -> dict[str, int]:
+    return {c: b for b, c in enumerate(byte_letters())}
+
+
+class Table:
+    """Lengths of frequent pre-tokens: 128-bit hashes, sorted by their upper halves, and the lengths beside them."""
+
+    def __init__(self, lengths: dict[str, int]):
+        rows = sorted((*divmod(xxhash.xxh3_128_intdigest(w.encode("utf-8", "surrogateescape")), 1 << 64), n) for w, n in lengths.items())
+        self.high, self.low = (np.array([r[k] for r in rows], np.uint64) for k in (0, 1))
+        self.length = np.array([r[2] for r in rows], np.uint16)
+
+    def get(self, word: str) -> int | None:
+        high, low = divmod(xxhash.xxh3_128_intdigest(word.encode("utf-8", "surrogateescape")), 1 << 64)
+        at = int(np.searchsorted(self.high, np.uint64(high)))
+        return int(self.length[at]) if at < len(self.high) and self.high[at] == high and self.low[at] == low else None
+
+
 class Lengths(dict):
-    """Pre-token to number of tokens: frequent ones given, misses encoded and kept up to a bound."""
+    """Pre-token to number of tokens: the table first, then this cache, kept up to a bound; what neither has is encoded."""
 
-    def __init__(self, frequent: dict[str, int], path: str):
-        super().__init__(frequent)
-        self.frequent, self.model = frequent, _tokenizer(path).model
+    def __init__(self, table: Table, path: str):
+        super().__init__()
+        self.table, self.model = table, _tokenizer(path).model
         self.letters = dict(enumerate(byte_letters()))
 
     def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-            self.update(self.frequent)
-        n = len(self.model.tokenize(spelled(word, self.letters)))
+        n = self.table.get(word)
+        if n is None:
+            n = len(self.model.tokenize(spelled(word, self.letters)))
         if len(word) <= 64:
+            if len(self) > CACHE_ENTRIES:
+                self.clear()
             self[word] = n
         return n
 
@@ -79,62 +109,113 @@ def plain(text: str) -> bool:
     return text.isascii() or max(text) <= PLAIN
 
 
-def plain_text(text: str, specials: tuple[str, ...]) -> bool:
-    """Whether the regular path gives what the library gives: no special string, no rare code point."""
-    return plain(text) and not any(s in text for s in specials)
+class Splitter:
+    """Pre-tokens of any text, as the tokenizer has them: its special strings part the text, patterns split what is plain, the
+    library's own pre-tokeniser the rest."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or r"(?!)")
+        self.find = re.compile(PLAIN_PATTERN).findall
 
+    def parts(self, text: str) -> list[str]:
+        """The texts between special strings."""
+        return self.cut.split(text) if any(s in text for s in self.specials) else [text]
 
-_WORKER: dict[str, Lengths] = {}
+    def words(self, part: str) -> list[str]:
+        if not part or plain(part):
+            return self.find(part)
+        return [unspelled(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+
+
+_WORKER: dict[str, tuple[Splitter, Lengths]] = {}
 
 
 CLEAR["tokencount"] = [_WORKER.clear, _tokenizer.cache_clear]
 
 
 @task("tokencount")
-def count_batches(batches: Iterator[pa.RecordBatch], path: str, frequent: dict[str, int], limit: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = _tokenizer(path)
-    specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+def count_batches(batches: Iterator[pa.RecordBatch], path: str, table: Table, limit: int) -> Iterator[pa.RecordBatch]:
     if path not in _WORKER:
-        _WORKER[path] = Lengths(frequent, path)
-    lengths, find = _WORKER[path].__getitem__, re.compile(PLAIN_PATTERN).findall
+        _WORKER[path] = Splitter(path), Lengths(table, path)
+    split, cache = _WORKER[path]
+    lengths = cache.__getitem__
     for batch in batches:
         sizes, counts = [], []
         for value in batch.column(1):
             text = value.as_py() or ""
             sizes.append(len(text) if text.isascii() else len(text.encode("utf-8")))
-            if not text:
-                counts.append(0)
-            elif plain_text(text, specials):
-                counts.append(sum(map(lengths, find(text))))
-            else:
-                counts.append(len(tokenizer.encode(text, add_special_tokens=False).ids))
+            parts = split.parts(text)
+            counts.append(len(parts) - 1 + sum(sum(map(lengths, split.words(p))) for p in parts))
         yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 
-def frequent_lengths(df: DataFrame, path: str, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
-    """Lengths of the ``size`` most frequent pre-tokens of about ``rows`` random texts of at most 64 KB each.
+class Sketch:
+    """The most frequent words of a stream in bounded memory, by lossy counting: when full the rarest half goes."""
+
+    def __init__(self, size: int = SKETCH):
+        self.counts: Counter[str] = Counter()
+        self.size = size
+
+    def add(self, words: list[str] | dict[str, int]) -> None:
+        self.counts.update(words)
+        if len(self.counts) > 8 * self.size:
+            self.counts = Counter(dict(self.top(4 * self.size)))
+
+    def top(self, n: int) -> list[tuple[str, int]]:
+        return heapq.nsmallest(n, self.counts.items(), key=lambda x: (-x[1], x[0]))
+
+    def packed(self) -> bytes:
+        kept = [(w, n) for w, n in self.top(self.size) if len(w) <= 64]
+        return zlib.compress(json.dumps(kept).encode("ascii"))
+
+    def merge(self, packed: bytes) -> None:
+        self.add(dict(map(tuple, json.loads(zlib.decompress(packed)))))
+
+
+@task("tokencount")
+def _sketch(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    split, sketch = Splitter(path), Sketch()
+    for batch in batches:
+        for value in batch.column(0):
+            for part in split.parts(value.as_py() or ""):
+                sketch.add(split.words(part))
+    yield pa.record_batch([pa.array([TaskContext.get().partitionId() % MERGED], pa.int32()), pa.array([sketch.packed()], pa.binary())], names=["lot", "packed"])
+
+
+@task("tokencount")
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in runs(batches, 1):
+        sketch = Sketch()
+        for packed in group.column(1):
+            sketch.merge(packed.as_py())
+        yield pa.record_batch([group.column(0).slice(0, 1).combine_chunks(), pa.array([sketch.packed()], pa.binary())], names=["lot", "packed"])
+
+
+def frequent_lengths(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, int]:
+    """Lengths of the ``size`` most frequent pre-tokens of all texts, as far as bounded sketches tell.
 
-    Both bounds are fixed, so the broadcast doesn't grow with the corpus. The table only saves work: any table,
-    an empty one too, gives the same counts.
+    A sketch has at most SKETCH words of at most 64 characters, and at most MERGED sketches reach the driver,
+    whatever the corpus. The table only saves work: any table, an empty one too, gives the same counts.
     """
-    texts = df.select("text").where(F.octet_length("text") <= TABLE_TEXT)
-    total = df.count()
-    fraction = 1.0 if total <= rows else rows / total
-    sample = texts.sample(fraction, seed=7).limit(2 * rows).collect()
-    find, counts = regex.compile(PATTERN).findall, Counter()
-    for row in sample:
-        counts.update(find(row.text))
-    lengths = Lengths({}, path)
-    return {w: lengths[w] for w, _ in heapq.nsmallest(size, counts.items(), key=lambda x: (-x[1], x[0])) if len(w) <= 64}
+    kind = "lot int, packed binary"
+    lots = docs.select("text").mapInArrow(lambda it: _sketch(it, path), kind).repartition(MERGED, "lot").sortWithinPartitions("lot").mapInArrow(_merge, kind)
+    total = Sketch(size)
+    for row in lots.select("packed").collect():
+        total.merge(bytes(row.packed))
+    lengths = Lengths(Table({}), path)
+    return {w: lengths[w] for w, _ in total.top(size)}
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) of every whole text.
 
     A null or empty text has 0 bytes and 0 tokens; ids may repeat or be null, each row counts for itself; an
-    empty table gives no rows; other columns are ignored. Texts with special strings or rare code points go to
-    the library whole. Narrow: no shuffle; a worker's cache is bounded.
+    empty table gives no rows; other columns are ignored. A special string is one token; a text of any length is
+    split whole, and a pre-token of over 64 characters is encoded each time. Narrow: no shuffle of texts or
+    pre-tokens; a worker's cache is bounded.
     """
     docs = id_text(df, id_col, text_col)
-    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path))
+    shared = df.sparkSession.sparkContext.broadcast(Table(frequent_lengths(docs, tokenizer_path)))
     return docs.mapInArrow(lambda it: count_batches(it, tokenizer_path, shared.value, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

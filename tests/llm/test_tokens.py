@@ -3,6 +3,7 @@
 import array
 import bisect
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -37,6 +38,55 @@ def test_joining_is_encoding_the_whole(a, b):
     assert own.join(own.leaf(a), own.leaf(b)) == own.leaf(a + b)
 
 
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"=-", b" ", "é".encode(), b"abcabd"])
+@pytest.mark.parametrize("n", [63, 65, 1001, 40_015])
+def test_runs_and_periods_are_encoded_as_by_the_library(unit, n):
+    own, data = bpe.load(RANKS), (unit * n)[:n]
+    want = LIBRARY._core_bpe.encode_single_piece(data)
+    assert list(own.encode(data)) == want and list(own._by_heap(data)) == want and list(own._by_rank(data)) == want
+    assert own.decode(want) == data
+
+
+def test_a_long_run_takes_about_linear_time():
+    own, data = bpe.load(RANKS), b"a" * 1_000_003
+    began = time.process_time()
+    ids = own.encode(data)
+    assert time.process_time() - began < 5 and own.decode(ids) == data
+    text = data.decode()
+    assert len(ids) == len(Tokenizer.from_file(BYTE_BPE).encode(text).ids)
+
+
+@given(st.binary(min_size=65, max_size=400) | st.text("ab", min_size=65, max_size=300).map(str.encode))
+@settings(max_examples=100, deadline=None)
+def test_long_leaves_merge_alike(data):
+    own = bpe.load(RANKS)
+    want = LIBRARY._core_bpe.encode_single_piece(data)
+    assert list(own._by_heap(data)) == want and list(own._by_rank(data)) == want
+
+
+@given(st.text(max_size=60) | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "“so”", " Привет", "日本", " ", "İ", "Σας", "a"]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_all_scripts_and_special_strings_are_counted_as_by_the_library(text):
+    split, lengths = tokencount.Splitter(BYTE_BPE), tokencount.Lengths(tokencount.Table({" the": 1}), BYTE_BPE)
+    parts = split.parts(text)
+    assert len(parts) - 1 + sum(lengths[w] for p in parts for w in split.words(p)) == len(Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids)
+    assert packing.token_bytes(text, WORD_BPE) == np.array(Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_the_table_is_consulted_before_encoding(docs):
+    found = tokencount.frequent_lengths(docs, BYTE_BPE)
+    assert len(found) > 100 and found[" be"] == 1
+    table = tokencount.Table({" be": 7})
+    assert tokencount.Lengths(table, BYTE_BPE)[" be"] == 7 and table.get(" bee") is None
+
+
+def test_sketches_are_bounded_and_keep_what_is_frequent():
+    sketch = tokencount.Sketch(50)
+    for k in range(3000):
+        sketch.add([f"w{k}", f"x{k}", "often"])
+    assert len(sketch.counts) <= 402 and sketch.top(1)[0][0] == "often"
+
+
 def test_bpe_column(docs, rows):
     got = Counter(tuple(r) for r in bpe.encode_texts(docs, RANKS, keep_ids=False).collect())
     want = Counter()
@@ -139,6 +189,16 @@ def test_plan_is_about_as_good_as_best_fit_on_document_lengths(seed):
     assert sum(n for _, n in packing.plan(histogram)) <= 1.005 * best_fit(histogram, 2048) + 1
 
 
+@pytest.mark.parametrize(("mean", "spread"), [(6.3, 1.0), (4.8, 0.7), (3.9, 0.6), (5.6, 0.8), (5.0, 1.5)])
+def test_patterns_place_nearly_all_pieces(mean, spread):
+    lengths = np.maximum(1, np.random.default_rng(1).lognormal(mean, spread, 8000).astype(int))
+    histogram = Counter(x for n in lengths.tolist() for x in [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0))
+    told = {}
+    plan = packing.plan(dict(histogram), told=told)
+    assert told["by_patterns"] >= 0.9 * sum(histogram.values())
+    assert sum(n for _, n in plan) <= 1.002 * best_fit(histogram, 2048) + 1
+
+
 def test_places_are_runs_of_ordinals():
     length, first, sequence, offset = packing.places([((3, 2), 4), ((3, 3), 2)])
     assert list(zip(length.tolist(), first.tolist(), sequence.tolist(), offset.tolist(), strict=True)) == [(2, 0, 0, 3), (3, 0, 0, 0), (3, 4, 4, 0), (3, 6, 4, 3)]
