@@ -14,12 +14,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import task
+
 # Element names by their role in HTML.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "select", "object", "canvas", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,10 +30,19 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
-# Words in class, id and role attributes that speak for or against content.
-AGAINST = "ad ads advert advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead sidebar aside widget cookie cookies consent gdpr notice alert modal popup overlay newsletter subscribe signup login form search share sharing social related recommended comment comments reply disqus respond toolbar tags pager pagination copyright legal skip contentinfo complementary dialog banner toc".split()
-FOR = "article content main post entry story body text prose maincontent mainbody articlebody".split()
-TAGS = ("p", "h1", "h2", "h3", "li", "ul", "ol", "a", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "span", "body", "html", "dl", "button")
+# Words in class, id and role attributes that speak for or against content, and words that say nothing.
+AGAINST = "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar sidebar aside widget widgets cookie cookies consent gdpr notice notices alert modal popup overlay newsletter subscribe subscription signup login register form search share sharing social related recommended recommendations comment comments commentlist reply replies disqus respond toolbar tags pager pagination paging copyright legal skip skiplink contentinfo complementary dialog toc tracking teaser teasers trending colophon sharedaddy addthis outbrain taboola".split()
+FOR = "article content contents main post entry story body text prose maincontent mainbody articlebody hentry".split()
+GENERIC = "area list box wrap wrapper container section block bar links link widget buttons button inner outer group item items panel row col column site page top bottom left right main primary secondary global nav holder unit slot zone strip content thread the id js css mw gh el lg md sm xs posts count title body form js us our wp".split()
+# What furniture says of itself, in the supplied tables' languages.
+SAYS = (
+    r"©|\(c\) ?\d{4}|\bcopyright\b|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|\bimpressum\b|privacy policy|terms of (?:use|service)",
+    r"^\W*(?:share|tweet|like this|follow us|pin it|teilen|partager|compartir)\b|\b(?:facebook|twitter|whatsapp|linkedin|pinterest|reddit)\b",
+    r"\bcookies?\b|\b(?:subscribe|newsletter|sign up|log ?in|abonnieren|s'abonner|suscríbete)\b|^\W*(?:advertisement|sponsored|anzeige|publicité|publicidad)\b",
+    r"^\W*(?:\d+ )?(?:comments?|responses?|replies|reply|leave a (?:reply|comment)|post a comment|join the (?:discussion|conversation)|kommentare?|commentaires?|comentarios?)\b",
+    r"^\W*(?:related|you (?:may|might) also like|more (?:from|stories|in)|recommended|read (?:more|next)|see also:? |most (?:read|popular)|trending|popular|recent posts|filed under|posted in|tagged|categories|tags?:)\b",
+)
+TAGS = ("p", "h1", "h2", "h3", "li", "ul", "ol", "a", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "span", "body", "html", "dl", "button", "h4", "details", "label", "address", "time")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -45,8 +57,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|\bhidden\b|aria-hidden\s*=\s*[\"']?tru
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
-N_FEATURES = len(TAGS) + 1 + 9
-EDGE_KINDS = 3  # child is a paragraph, a container, another element
+_SAYS = tuple(re.compile(x, re.I) for x in SAYS)
+_SAID = re.compile("|".join(f"(?:{x})" for x in SAYS), re.I)
+#: Text of a node that phrases are looked for in: its beginning and its end, so that long prose costs nothing.
+_HEARD = 160
+
+OWN = 28  # features beside the tag
+N_FEATURES = len(TAGS) + 1 + OWN
+EDGE_KINDS = 4  # child is a paragraph, a container, an element that HTML sets apart from content, another
 
 
 @dataclass
@@ -55,24 +73,41 @@ class Page:
 
     parent: list[int] = field(default_factory=lambda: [-1])
     tag: list[str] = field(default_factory=lambda: ["html"])
-    for_: list[int] = field(default_factory=lambda: [0])
-    against: list[int] = field(default_factory=lambda: [0])
+    named: list[tuple[int, int, int, int]] = field(default_factory=lambda: [(0, 0, 0, 0)])
     hidden: list[int] = field(default_factory=lambda: [0])
     label: list[int] = field(default_factory=lambda: [0])
     chars: list[int] = field(default_factory=lambda: [0])
     linked: list[int] = field(default_factory=lambda: [0])
     stops: list[int] = field(default_factory=lambda: [0])
+    says: list[int] = field(default_factory=lambda: [0])  # a bit for each of SAYS
     #: (block, node, text with entities): a block's runs are consecutive
     runs: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-@lru_cache(maxsize=4096)
-def _words(value: str) -> tuple[int, int]:
-    words = [w.lower() for w in _SPLIT.split(value) if w]
-    return sum(w in _FOR for w in words), sum(w in _AGAINST for w in words)
+_FOR, _AGAINST, _GENERIC = frozenset(FOR), frozenset(AGAINST), frozenset(GENERIC)
+_LONG = tuple(sorted((w for w in AGAINST if len(w) > 4), key=len, reverse=True))
 
 
-_FOR, _AGAINST = frozenset(FOR), frozenset(AGAINST)
+@lru_cache(maxsize=8192)
+def _words(value: str) -> tuple[int, int, int, int]:
+    """How names speak: plainly for, in part for, plainly against, in part against.
+
+    A name does so plainly if all its words do, or the others say nothing (``comments-area``); in part if it has
+    other words (``notice-board-history``) or is one run of letters that only begins so (``sharebox``).
+    """
+    out = [0, 0, 0, 0]
+    for name in value.split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        for k, known in ((0, _FOR), (2, _AGAINST)):
+            hits = [w in known for w in words]
+            if any(hits):
+                # what belongs to a post isn't the post (``post-footer``), but its header has the title
+                neutral = _GENERIC if k == 0 or words[-1] == "header" else _GENERIC | _FOR
+                plainly = all(h or w in neutral for h, w in zip(hits, words, strict=True)) and (k or not any(w in _AGAINST for w in words))
+                out[k if plainly else k + 1] = 1
+        if any(w not in _AGAINST and w.startswith(_LONG) for w in words):
+            out[3] = 1
+    return tuple(out)
 
 
 def parse(text: str) -> Page:
@@ -89,6 +124,13 @@ def parse(text: str) -> Page:
             page.chars[node] += n
             page.linked[node] += n if links else 0
             page.stops[node] += raw.count(". ") + raw.count(", ") + raw.endswith(".")
+            heard = raw.strip() if n <= 2 * _HEARD else raw[:48]
+            if "&" in heard:
+                heard = entities.unescape(heard)
+            if _SAID.search(heard):
+                for k, said in enumerate(_SAYS):
+                    if said.search(heard):
+                        page.says[node] |= 1 << k
         elif raw and page.runs:
             page.runs.append((block, stack[-1][1], " "))
 
@@ -120,17 +162,17 @@ def parse(text: str) -> Page:
             continue
         if name == "a":
             links = 1
-        good = bad = label = hide = 0
+        label = hide = 0
+        named = (0, 0, 0, 0)
         if attrs:
             for a in _ATTRIBUTE.finditer(attrs):
                 value = a[2] or a[3] or a[4] or ""
                 if a[1].lower() == "data-y":
                     label = int(value)
                 else:
-                    g, b = _words(value)
-                    good, bad = good + g, bad + b
+                    named = tuple(map(max, named, _words(value)))
             hide = int(bool(_HIDDEN.search(attrs)))
-        if inline and not bad and not hide:
+        if inline and not named[2] and not hide:
             continue
         if not inline:
             block += 1
@@ -151,13 +193,13 @@ def parse(text: str) -> Page:
         node = len(page.parent)
         page.parent.append(stack[-1][1])
         page.tag.append(name)
-        page.for_.append(good)
-        page.against.append(bad)
+        page.named.append(named)
         page.hidden.append(hide)
         page.label.append(label)
         page.chars.append(0)
         page.linked.append(0)
         page.stops.append(0)
+        page.says.append(0)
         if not attrs or not attrs.endswith("/"):
             stack.append((name, node))
     if at < len(text):
@@ -168,6 +210,47 @@ def parse(text: str) -> Page:
 _TAG_INDEX = {t: i for i, t in enumerate(TAGS)}
 
 
+_APART = frozenset(("nav", "aside", "header", "footer", "form", "button", "label", "address", "details"))
+_CONTAINER = frozenset(("div", "section", "article", "main", "ul", "ol", "dl", "table", "blockquote", "figure"))
+
+
+def _context(page: Page) -> np.ndarray:
+    """What a node's subtree, ancestors and elder siblings say of it, one row a node."""
+    n = len(page.parent)
+    parent, tag = page.parent, page.tag
+    chars, linked, h1, paras = list(page.chars), list(page.linked), [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        chars[p] += chars[i]
+        linked[p] += linked[i]
+        h1[p] += h1[i] + (tag[i] == "h1")
+        paras[p] += paras[i] + (tag[i] == "p" and page.chars[i] > 60)
+    total = max(1, chars[0])
+    inside, under, follows = [0] * n, [0] * n, [0] * n
+    before, gone, titled, headed = [0] * n, [0] * n, [0] * n, [0] * n
+    out = []
+    seen = 0
+    for i in range(n):
+        p = parent[i]
+        if p >= 0:
+            inside[i] = inside[p] or tag[p] in ("article", "main")
+            under[i] = under[p] or page.named[p][2] or tag[p] in _APART
+            # a heading that announces comments or more to read speaks of all that follows it among its siblings
+            follows[i] = headed[p] or follows[p]
+            titled[i] = gone[p]
+            gone[p] = gone[p] or h1[i] or tag[i] == "h1"
+            if tag[i] in ("h2", "h3", "h4", "h5", "h6"):
+                headed[p] = int(page.says[i] & 0b11000 > 0)
+        before[i] = seen
+        seen += page.chars[i]
+        at = before[i] / total
+        out.append((
+            linked[i] / chars[i] if chars[i] else 0, min(log1p(chars[i]) / 9, 1.2), chars[i] / total, min(paras[i], 8) / 8, inside[i], under[i], follows[i],
+            tag[i] in ("header", "footer") and inside[i], tag[i] == "header" and h1[i] > 0, at < 0.03, at > 0.97 and chars[i] / total < 0.1, titled[i], linked[i] > 0.6 * chars[i] > 0,
+        ))
+    return np.array(out, float)
+
+
 def tensors(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features, parents, depths and edge kinds of all nodes of several pages, as one forest."""
     sizes = [len(p.parent) for p in pages]
@@ -180,18 +263,21 @@ def tensors(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     n = len(tags)
     x = np.zeros((n, N_FEATURES))
     x[np.arange(n), kind] = 1
-    chars, linked = cat("chars").astype(float), cat("linked").astype(float)
+    chars, linked, says = cat("chars").astype(float), cat("linked").astype(float), cat("says")
     k = len(TAGS) + 1
     x[:, k] = 1
     x[:, k + 1] = np.minimum(np.log1p(chars) / 5, 1.5)
     x[:, k + 2] = np.divide(linked, chars, out=np.zeros(n), where=chars > 0)
     x[:, k + 3] = np.minimum(cat("stops"), 6) / 6
-    x[:, k + 4] = cat("for_") > 0
-    x[:, k + 5] = cat("against") > 0
-    x[:, k + 6] = cat("hidden")
-    x[:, k + 7] = chars == 0
-    x[:, k + 8] = (chars > 0) & (chars < 25)
-    edges = np.array([0 if t in PARAGRAPH else 1 if t in ("div", "section", "article", "main", "ul", "ol", "table", "blockquote", "nav", "aside", "header", "footer", "form") else 2 for t in tags])
+    x[:, k + 4 : k + 8] = cat("named")
+    x[:, k + 8] = cat("hidden")
+    x[:, k + 9] = chars == 0
+    x[:, k + 10] = (chars > 0) & (chars < 25)
+    for j in range(3):
+        x[:, k + 11 + j] = says >> j & 1
+    x[:, k + 14] = (says & 0b11000) > 0
+    x[:, k + 15 : k + 28] = np.concatenate([_context(p) for p in pages])
+    edges = np.array([0 if t in PARAGRAPH else 1 if t in _CONTAINER else 2 if t in _APART else 3 for t in tags])
     # pre-order: a parent comes before its children, so one pass gives depths
     depth = np.zeros(n, np.int64)
     par = parent.tolist()
@@ -276,96 +362,179 @@ def fit(pages: list[Page], rounds: int = 200, rate: float = 0.15, penalty: float
 # ---------------------------------------------------------------- labelled pages
 
 
-def labelled_page(rng: random.Random) -> str:
-    """An invented page in one of many layouts; ``data-y`` marks elements of the article."""
-    word = lambda: "".join(rng.choice(("ta", "re", "mo", "lin", "es", "qua", "ber", "und", "ion", "é", "ost")) for _ in range(rng.randint(1, 4)))
+class _Invented:
+    """One invented page in one of many layouts; ``data-y`` marks elements of the article.
+
+    Names of elements are plain, compound, run together, opaque or, for some content, misleading, so that none of
+    them decides alone; furniture says what it is, is set apart by its element, or is told by its links and place.
+    """
 
-    def sentence(n: int) -> str:
-        words = [word() for _ in range(n)]
-        return " ".join(words).capitalize().replace(" ", ", ", rng.random() < 0.3) + rng.choice((".", ".", ".", "", "!"))
+    MARK = ' data-y="1"'
 
-    def prose(low: int = 1, high: int = 5) -> str:
-        return " ".join(sentence(rng.choice((2, 5, 9, 14, 20))) for _ in range(rng.randint(low, high)))
+    def __init__(self, rng: random.Random):
+        self.rng = rng
+        self.naming = rng.choices(("plain", "compound", "opaque"), (0.45, 0.4, 0.15))[0]
 
-    def link() -> str:
-        return f'<a href="/{word()}">{" ".join(word() for _ in range(rng.randint(1, 3)))}</a>'
+    def word(self) -> str:
+        return "".join(self.rng.choice(("ta", "re", "mo", "lin", "es", "qua", "ber", "und", "ion", "é", "ost")) for _ in range(self.rng.randint(1, 4)))
 
-    def wrapped(tags: tuple[str, ...], classes: tuple[str, ...], body: str, y: int = 0) -> str:
-        tag = rng.choice(tags)
+    def sentence(self, n: int) -> str:
+        words = [self.word() for _ in range(n)]
+        return " ".join(words).capitalize().replace(" ", ", ", self.rng.random() < 0.3) + self.rng.choice((".", ".", ".", "", "!"))
+
+    def prose(self, low: int = 1, high: int = 5) -> str:
+        return " ".join(self.sentence(self.rng.choice((2, 5, 9, 14, 20))) for _ in range(self.rng.randint(low, high)))
+
+    def link(self) -> str:
+        return f'<a href="/{self.word()}">{" ".join(self.word() for _ in range(self.rng.randint(1, 3)))}</a>'
+
+    def opaque(self) -> str:
+        return "".join(self.rng.choice("abcdefghkmnprstxz0123456789_") for _ in range(self.rng.randint(4, 8)))
+
+    def name(self, words: tuple[str, ...]) -> str:
+        rng, word = self.rng, self.rng.choice(words)
+        if self.naming == "opaque":
+            return f"{self.opaque()} {self.opaque()}" if rng.random() < 0.3 else f"css-{self.opaque()}"
+        if self.naming == "compound" and rng.random() < 0.7:
+            other = rng.choice(("site", "page", "main", "wp", "top", "js"))
+            tail = rng.choice(("area", "list", "box", "wrap", "container", "section", "block", "bar", "inner"))
+            return rng.choice((f"{word}-{tail}", f"{other}-{word}", f"{word}_{tail}", f"{other}{word.capitalize()}", f"{word}{tail}", f"{word} {self.word()}"))
+        return word
+
+    def wrapped(self, tags: tuple[str, ...], words: tuple[str, ...], body: str) -> str:
+        tag = self.rng.choice(tags)
         must = tag in ("div", "section", "ul", "p", "span")
-        attr = f' {rng.choice(("class", "id", "class", "role"))}="{rng.choice(classes)}"' if must or rng.random() < 0.4 else ""
-        return f"<{tag}{attr}{' data-y="1"' if y else ''}>{body}</{tag}>"
+        attr = f' {self.rng.choice(("class", "id", "class", "role"))}="{self.name(words)}"' if must or self.rng.random() < 0.4 else ""
+        return f"<{tag}{attr}>{body}</{tag}>"
 
-    def links() -> str:
-        items = [link() for _ in range(rng.randint(2, 8))]
-        style = rng.random()
+    def links(self) -> str:
+        items = [self.link() for _ in range(self.rng.randint(2, 8))]
+        style = self.rng.random()
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if style < 0.6 else " | ".join(items) if style < 0.8 else "".join(f"<p>{x}</p>" for x in items)
 
-    def any_text() -> str:
-        x = prose(1, 3)
-        style = rng.random()
-        return x if style < 0.45 else f"<p>{x}</p>" if style < 0.75 else f"<h3>{sentence(3)}</h3><p>{x}</p>" if style < 0.9 else links()
-
-    def furniture(where: str) -> str:
+    def any_text(self) -> str:
+        x = self.prose(1, 3)
+        style = self.rng.random()
+        return x if style < 0.45 else f"<p>{x}</p>" if style < 0.75 else f"<h3>{self.sentence(3)}</h3><p>{x}</p>" if style < 0.9 else self.links()
+
+    def said(self, *phrases: str, heading: bool = False) -> str:
+        """What furniture calls itself; always where nothing else would tell."""
+        if self.naming != "opaque" and self.rng.random() < 0.4:
+            return ""
+        x = self.rng.choice(phrases)
+        tag = self.rng.choice(("h2", "h3", "h4") if heading else ("p", "span", "h3", "div", ""))
+        return f"<{tag}>{x}</{tag}>" if tag else x + " "
+
+    def comments(self) -> str:
+        rng = self.rng
+
+        def one() -> str:
+            head = rng.choice(("", f"<b>{self.word()}</b> ", f'<div class="{self.name(("comment-author", "comment-meta"))}">{self.link()} {self.word()}</div>', f"<cite>{self.word()}</cite><time>{self.word()}</time>"))
+            tail = rng.choice(("", "", f'<a href="#" class="reply">{self.word()}</a>'))
+            return f"{head}<p>{self.prose(1, 3)}</p>" * rng.choice((1, 1, 2)) + tail
+
+        head = self.said("Comments", "3 Comments", "2 responses", "Leave a Reply", "Join the discussion", "Kommentare", "Commentaires", "Comentarios", heading=True)
+        listed = rng.random() < 0.4
+        item = lambda: f'<li class="{self.name(("comment", "comment-item"))}">{one()}</li>' if listed else f'<div class="{self.name(("comment", "reply", "comment-body"))}">{one()}</div>'
+        items = "".join(item() for _ in range(rng.choice((1, 2, 4, 15))))
+        return self.wrapped(("section", "div", "div"), ("comments", "comment-list", "reader-comments", "respond", "comments-area", "disqus"), head + (f"<ol>{items}</ol>" if listed else items))
+
+    def furniture(self, where: str) -> str:
+        rng = self.rng
         make = {
-            "nav": lambda: wrapped(("nav", "nav", "div", "ul"), ("nav", "menu", "main-menu", "navbar", "navigation", "breadcrumb"), links()),
-            "header": lambda: wrapped(("header", "header", "div"), ("header", "site-header", "masthead", "banner"), f"<h1>{sentence(3)}</h1>" * (rng.random() < 0.5) + any_text()),
-            "ad": lambda: wrapped(("div", "div", "aside", "section", "p"), ("ad", "ads", "advert", "sponsored", "promo", "ad-box", "banner-ad"), any_text()),
-            "side": lambda: wrapped(("aside", "aside", "div"), ("sidebar", "widget", "related", "side-bar", "recommended"), any_text() + links() * (rng.random() < 0.5)),
-            "notice": lambda: wrapped(("div", "section", "p"), ("cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "subscribe"), any_text()),
-            "form": lambda: wrapped(("form", "form", "div"), ("search", "signup-form", "login", "newsletter"), f"<label>{word()}</label><input><button>{word()}</button>" + f"<p>{prose(1, 2)}</p>" * (rng.random() < 0.4)),
-            "comments": lambda: wrapped(("section", "div", "ul"), ("comments", "comment-list", "reader-comments", "respond"), "".join(f'<div class="comment"><p>{prose(1, 3)}</p></div>' for _ in range(rng.choice((1, 2, 4, 15))))),
-            "share": lambda: wrapped(("div", "ul", "p"), ("share", "social", "tags", "share-buttons"), links()),
-            "footer": lambda: wrapped(("footer", "footer", "footer", "div"), ("footer", "site-footer", "copyright", "legal"), f"&copy; {word()} " * (rng.random() < 0.6) + any_text()),
+            "nav": lambda: self.wrapped(("nav", "nav", "div", "ul"), ("nav", "menu", "main-menu", "navbar", "navigation", "breadcrumb"), self.links()),
+            "header": lambda: self.wrapped(("header", "header", "div"), ("header", "site-header", "masthead", "banner", "topbar"), rng.choice(("", f"<h1>{self.sentence(3)}</h1>", f"<a href='/'>{self.sentence(2)}</a>", f"<p>{self.sentence(3)}</p>")) + (self.any_text() if rng.random() < 0.5 else self.links())),
+            "ad": lambda: self.wrapped(("div", "div", "aside", "section", "p"), ("ad", "ads", "advert", "sponsored", "promo", "ad-box", "banner-ad"), self.said("Advertisement", "Sponsored", "Anzeige") + self.any_text()),
+            "side": lambda: self.wrapped(("aside", "aside", "div"), ("sidebar", "widget", "related", "side-bar", "recommended"), self.said("Related posts", "You may also like", "Recent posts", "Most read", "Read more", heading=True) + self.any_text() + self.links() * (rng.random() < 0.5)),
+            "notice": lambda: self.wrapped(("div", "section", "p"), ("cookie-notice", "notice", "consent", "gdpr", "alert", "newsletter", "popup", "subscribe"), self.said("We use cookies", "Subscribe to our newsletter", "Sign up") + self.any_text()),
+            "form": lambda: self.wrapped(("form", "form", "div"), ("search", "signup-form", "login", "newsletter"), f"<label>{self.word()}</label><input><button>{self.word()}</button>" + f"<p>{self.prose(1, 2)}</p>" * (rng.random() < 0.4)),
+            "comments": self.comments,
+            "share": lambda: self.wrapped(("div", "ul", "p"), ("share", "social", "tags", "share-buttons", "sharedaddy", "sharing"), self.said("Share this", "Share", "Tweet", "Follow us", "Teilen") + self.links() * (rng.random() < 0.8)),
+            "meta": lambda: self.wrapped(("footer", "div", "p"), ("tags", "related", "tags-links", "share"), self.said("Filed under", "Posted in", "Tagged", "Tags:") + self.links()),
+            "footer": lambda: self.wrapped(("footer", "footer", "footer", "div"), ("footer", "site-footer", "copyright", "legal", "colophon"), (f"&copy; {self.word()} " if self.naming == "opaque" or rng.random() < 0.6 else "") + rng.choice(("", "All rights reserved. ")) + (self.any_text() if rng.random() < 0.6 else self.links())),
         }
         return make[where]()
 
-    def content() -> str:
+    def unseen(self) -> str:
+        """Text that isn't shown."""
+        return f"<div {self.rng.choice(('hidden', 'style=' + chr(34) + 'display:none' + chr(34), 'aria-hidden=true', 'style=' + chr(34) + 'display: none;' + chr(34)))}>{self.any_text()}</div>"
+
+    def misled(self) -> str:
+        """A name whose words speak against content though it has other words too."""
+        return f' class="{self.rng.choice(("notice", "tags", "comment", "menu", "header", "social", "search", "form", "related", "share"))}-{self.word()}{self.rng.choice(("", "-" + self.word()))}"' if self.rng.random() < 0.5 else ""
+
+    def block(self, terse: bool) -> str:
+        rng, mark = self.rng, self.MARK
+        style = rng.random() * (0.3 if terse else 1)
+        if style < 0.66:
+            x = self.sentence(rng.choice((1, 2, 3))) if terse else self.prose(1, 6)
+            x = f"<b>{x}<br>" if rng.random() < 0.2 else x.replace(" ", f" {self.link()} ", 1) if rng.random() < 0.2 else x
+            return f"<p{mark}{self.misled() if rng.random() < 0.06 else ''}>{x}" + "</p>" * (rng.random() < 0.85)
+        if style < 0.74:
+            return f"<{(h := rng.choice(('h2', 'h2', 'h3', 'h4')))}{mark}>{self.sentence(rng.randint(1, 5))}</{h}>"
+        if style < 0.82:
+            listed = lambda: self.sentence(rng.randint(1, 9)) if rng.random() < 0.8 else f"{self.link()} {self.sentence(6)}"
+            return f"<{(t := rng.choice(('ul', 'ol')))}{mark}>" + "".join(f"<li{mark}>{listed()}</li>" for _ in range(rng.randint(1, 6))) + f"</{t}>"
+        if style < 0.86:
+            return f"<blockquote{mark}><p{mark}>{self.prose(1, 2)}</p></blockquote>"
+        if style < 0.89:
+            return f"<pre{mark}>{self.prose(1, 2)}</pre>"
+        if style < 0.92:
+            return f"<table{mark}>" + "".join(f"<tr{mark}><td{mark}>{self.sentence(2)}</td><td{mark}>{self.sentence(3)}</td></tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        if style < 0.95:
+            return f"<figure{mark}><img><figcaption{mark}>{self.sentence(4)}</figcaption></figure>"
+        return f"<div{mark}{self.misled() if rng.random() < 0.1 else ''}>{self.prose(1, 3)}</div>"
+
+    def content(self) -> str:
+        rng, mark = self.rng, self.MARK
         parts = []
-        mark = ' data-y="1"'
         if rng.random() < 0.85:
-            parts.append(f"<h1{mark}>{sentence(rng.randint(1, 9))}</h1>")
+            title = f"<h1{mark}>{self.sentence(rng.randint(1, 9))}</h1>"
+            if rng.random() < 0.35:
+                by = rng.choice(("", f"<p{mark}>{self.sentence(4)}</p>", f'<p class="byline"{mark}>By {self.word()}</p>', f'<div class="entry-meta"{mark}><time{mark}>{self.word()}</time> {self.word()}</div>'))
+                title = f"<header{rng.choice(('', ' class=entry-header', ' class=post-header'))}{mark}>{title}{by}</header>"
+            parts.append(title)
+            if rng.random() < 0.12:
+                parts.append(self.furniture("share"))
         terse = rng.random() < 0.3
         for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 8, 20, 60))):
-            style = rng.random() * (0.3 if terse else 1)
-            if style < 0.7:
-                x = sentence(rng.choice((1, 2, 3))) if terse else prose(1, 6)
-                x = f"<b>{x}<br>" if rng.random() < 0.2 else x.replace(" ", f" {link()} ", 1) if rng.random() < 0.2 else x
-                parts.append(f"<p{mark}>{x}" + "</p>" * (rng.random() < 0.85))
-            elif style < 0.78:
-                parts.append(f"<h2{mark}>{sentence(rng.randint(1, 5))}</h2>")
-            elif style < 0.84:
-                parts.append(f"<ul{mark}>" + "".join(f"<li{mark}>{sentence(rng.randint(1, 9))}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
-            elif style < 0.88:
-                parts.append(f"<blockquote{mark}><p{mark}>{prose(1, 2)}</p></blockquote>")
-            elif style < 0.91:
-                parts.append(f"<pre{mark}>{prose(1, 2)}</pre>")
-            elif style < 0.94:
-                parts.append(f"<table{mark}><tr{mark}><td{mark}>{sentence(2)}</td><td{mark}>{sentence(3)}</td></tr></table>")
-            elif style < 0.97:
-                parts.append(f"<figure{mark}><img><figcaption{mark}>{sentence(4)}</figcaption></figure>")
-            else:
-                parts.append(f"<div{mark}>{prose(1, 3)}</div>")
+            x = self.block(terse)
+            if rng.random() < 0.06:
+                x = f"<section{mark}><h2{mark}>{self.sentence(3)}</h2>{x}{self.block(terse)}</section>"
+            parts.append(x)
             if rng.random() < 0.07:
-                parts.append(furniture(rng.choice(("ad", "share", "notice", "form", "side"))))
+                parts.append(self.furniture(rng.choice(("ad", "share", "notice", "form", "side"))))
+        if rng.random() < 0.25:
+            parts = [f"<div{mark}{rng.choice(('', self.misled(), f' class={chr(34)}{self.name(('entry-content', 'content', 'post-body', 'text'))}{chr(34)}'))}>{''.join(parts)}</div>"]
+        for where, chance in (("meta", 0.15), ("share", 0.2), ("side", 0.12), ("comments", 0.2)):
+            if rng.random() < chance:
+                parts.append(self.furniture(where))
         body = "".join(parts)
         kind = rng.random()
-        if kind < 0.55:
-            body = f'<article{mark}{rng.choice(("", "", f" class={chr(34)}post{chr(34)}"))}>{body}</article>'
-        elif kind < 0.72:
+        if kind < 0.5:
+            body = f'<article{mark}{rng.choice(("", "", f" class={chr(34)}post{chr(34)}", f" id={chr(34)}post-{rng.randrange(999)}{chr(34)}"))}>{body}</article>'
+        elif kind < 0.68:
             body = f"<main{mark}>{body}</main>"
         elif kind < 0.95:
-            body = f'<{rng.choice(("div", "section"))}{mark} {rng.choice(("class", "id"))}="{rng.choice(("content", "main-content", "post", "entry-content", "story", "article-body", "text", "post-body"))}">{body}</div>'
+            named = self.name(("content", "main-content", "post", "entry-content", "story", "article-body", "text", "post-body"))
+            body = f'<{(t := rng.choice(("div", "section")))}{mark}{self.misled() if rng.random() < 0.08 else f" {rng.choice(('class', 'id'))}={chr(34)}{named}{chr(34)}"}>{body}</{t}>'
         if rng.random() < 0.15:
             body = f"<main{mark}>{body}</main>"
         return body
 
-    before = "".join(furniture(k) for k in ("nav", "header", "ad", "notice", "side", "form") if rng.random() < 0.4)
-    after = "".join(furniture(k) for k in ("share", "ad", "side", "comments", "form", "notice", "footer") if rng.random() < 0.4)
-    page = before + content() + after
-    if rng.random() < 0.3:
-        page = f'<div id="{rng.choice(("wrapper", "page", "container"))}">{page}</div>'
-    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{page}</body></html>"
+    def page(self) -> str:
+        rng = self.rng
+        before = "".join(self.furniture(k) for k in ("nav", "header", "ad", "notice", "side", "form") if rng.random() < 0.4)
+        after = "".join(self.furniture(k) for k in ("share", "ad", "side", "comments", "form", "notice", "footer") if rng.random() < 0.4)
+        page = before + self.content() + (self.unseen() if rng.random() < 0.12 else "") + after
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            page = f'<div id="{rng.choice(("wrapper", "page", "container", self.opaque()))}">{page}</div>'
+        return f"<!DOCTYPE html><html><head><title>{self.word()}</title></head><body>{page}</body></html>"
+
+
+def labelled_page(rng: random.Random) -> str:
+    """An invented page; ``data-y`` marks elements of the article."""
+    return _Invented(rng).page()
 
 
 @lru_cache(maxsize=1)
@@ -401,11 +570,23 @@ def extract_texts(sources: list[str | None], model: Model) -> list[str]:
     return [main_text(page, p) for page, p in zip(pages, model.content(pages), strict=True)] if pages else []
 
 
+#: Characters of html that one step parses; a longer page is a step of its own.
+STEP = 2_000_000
+
+
+@task("extract")
 def _extract(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            texts = extract_texts(part.column(2).to_pylist(), model)
+        html = batch.column(2).to_pylist()
+        at = 0
+        while at < len(html):
+            end, size = at, 0
+            while end < len(html) and end - at < 256 and (end == at or size + len(html[end] or "") <= STEP):
+                size += len(html[end] or "")
+                end += 1
+            texts = extract_texts(html[at:end], model)
+            part = batch.slice(at, end - at)
+            at = end
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -414,7 +595,8 @@ def extract(df: DataFrame, model: Model | None = None, id_col: str = "page_id",
 
     Null or empty html, and a page where nothing is content, give the empty text; null ids and urls pass
     through; repeated rows are repeated; a marginal of exactly one half isn't content; an empty table gives no
-    rows; other columns are ignored. Narrow: no shuffle; the model is under a kilobyte.
+    rows; other columns are ignored; a page of any length is parsed whole. Narrow: no shuffle; the model is under a
+    kilobyte.
     """
     model = model or trained()
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
