@@ -6,6 +6,7 @@ cut into windows that cover all of its bytes; its class probabilities are the wi
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,10 @@ WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Bounds of the labelled sample: rows, and windows of each. The fit never sees more, whatever the corpus.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 4_000, 3
 UNDETERMINED = "und"
-#: Below this score a text has no language: between a few classes the network only guesses.
-LEAST_SCORE = 0.3
+#: Invented texts without a language for each labelled one, in the model that rejects.
+NEGATIVES = 0.5
+# First and last letters of scripts that texts without a known language are invented from.
+SCRIPTS = {"Greek": (0x3B1, 0x3C9), "Cyrillic": (0x430, 0x44F), "Armenian": (0x561, 0x586), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x621, 0x64A), "Devanagari": (0x905, 0x939), "Bengali": (0x985, 0x9B9), "Thai": (0xE01, 0xE30), "Georgian": (0x10D0, 0x10F0), "Hiragana": (0x3042, 0x3093), "Han": (0x4E00, 0x9FA5), "Hangul": (0xAC00, 0xD7A3)}
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -126,12 +129,43 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 12, batch: int =
     return ByteCNN(classes, p["e"], {k: p["w", k] for k in WIDTHS}, {k: p["b", k] for k in WIDTHS}, p["d"], p["c"])
 
 
+def invented(texts: list[str], count: int, seed: int = 17) -> list[str]:
+    """``count`` texts of no language: letters of ``texts`` in another order, random letters, code, digits, scripts that ``texts`` lack."""
+    rng = random.Random(seed)
+    seen = {name for name, (a, b) in SCRIPTS.items() if any(a <= ord(c) <= b for t in texts for c in set(t))}
+    foreign = [v for k, v in SCRIPTS.items() if k not in seen]
+    word = lambda letters, low=1, high=9: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    low = "abcdefghijklmnopqrstuvwxyz"
+
+    def shuffled() -> str:
+        letters = [c for c in rng.choice(texts) if not c.isspace()]
+        rng.shuffle(letters)
+        it = iter(letters)
+        return " ".join(iter(lambda: "".join(c for _, c in zip(range(rng.randint(1, 9)), it, strict=False)), ""))
+
+    def code() -> str:
+        name = lambda: word(low, 1, 6) + rng.choice(("", "_" + word(low, 1, 5), str(rng.randint(0, 99)), word(low, 2, 5).capitalize()))
+        line = lambda: rng.choice((f"{name()} = {name()}({name()}, {rng.randint(0, 999)});", f"if ({name()} < {name()}) {{", f"  return {name()}[{name()}];", "}", f"def {name()}({name()}):", f"for {name()} in {name()}.{name()}():", f"<{name()} {name()}='{name()}'>", f"{name()}->{name()} += 0x{rng.randrange(1 << 32):x};", f"import {name()}.{name()}", f"// {name()} {name()}"))
+        return "\n".join(line() for _ in range(rng.randint(3, 14)))
+
+    def other() -> str:
+        a, b = rng.choice(foreign)
+        letters = [chr(rng.randint(a, b)) for _ in range(40)]
+        return " ".join(word(letters) for _ in range(40))
+
+    makers = [shuffled, shuffled, code, lambda: " ".join(word(low) for _ in range(40)), lambda: word(low + low.upper() + "0123456789+/", 40, 250), lambda: " ".join(word("0123456789abcdef", 1, 16) for _ in range(20)), *([other] * 2 if foreign else [])]
+    return [rng.choice(makers)()[:WINDOW] for _ in range(count)]
+
+
 def _remainder(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
-    """Train on windows at hashed places of at most SAMPLE_ROWS labelled rows outside the held-out fold."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rejecting: bool = False) -> ByteCNN | None:
+    """Train on windows at hashed places of at most SAMPLE_ROWS labelled rows outside the held-out fold.
+
+    ``rejecting`` adds invented texts as one more class, ``und``.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND text != ''").where(_remainder(F.col("id")) != 0)
     cut = [F.substring("text", (F.pmod(F.xxhash64("id", F.lit(k)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int"), WINDOW).alias(f"w{k}") for k in range(SAMPLE_WINDOWS)]
@@ -146,6 +180,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 texts.append(w.encode("utf-8"))
                 labels.append(r.lang)
     order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
+    if rejecting and order:
+        none = invented([texts[i].decode("utf-8") for i in order], max(1, int(NEGATIVES * len(texts))))
+        texts, labels = texts + [t.encode("utf-8")[:WINDOW] for t in none], labels + [UNDETERMINED] * len(none)
+        order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))
     return train([texts[i] for i in order], [labels[i] for i in order])
 
 
@@ -182,17 +220,19 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None) -> Iterat
         yield pa.record_batch([part.column(0), part.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
-def keep_identified(df: DataFrame, least: float = LEAST_SCORE, model: ByteCNN | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows, all columns as they are, whose text has a language: not ``und`` and a score of at least ``least``.
+def keep_identified(df: DataFrame, model: ByteCNN | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows, all columns as they are, whose text has a language.
 
-    Null and letterless texts go; with nothing labelled there is no model and every text goes; repeated rows
-    are judged each for itself. Narrow: no shuffle.
+    Without ``model`` one is trained that also knows texts of no language (shuffled letters, code, unknown scripts);
+    a text goes where that class, ``und``, is the likeliest over its whole length, and so does one that is null or
+    has no letters. With nothing labelled there is no model and every text goes; ties go to the first class in
+    order; repeated rows are judged each for itself; an empty table stays empty. Narrow: no shuffle.
     """
-    model = model or fit(df, id_col, text_col, lang_col)
+    model = model or fit(df, id_col, text_col, lang_col, rejecting=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, langs, scores in _predictions(batches, model, text_col):
-            yield part.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
+        for part, langs, _ in _predictions(batches, model, text_col):
+            yield part.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

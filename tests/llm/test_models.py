@@ -2,9 +2,13 @@
 
 import itertools
 import random
+import re
+from collections import Counter
+from html import unescape
 
 import numpy as np
 import pytest
+from gold_pages import GOLD
 
 from pagemill.llm import extract as X
 from pagemill.llm import language as L
@@ -29,12 +33,32 @@ def test_language_odd_rows(docs, spark):
     assert [tuple(r)[2:] for r in L.identify(unlabelled).collect()] == [("und", 0.0)]
 
 
-def test_only_identified_rows_stay(docs):
-    kept = L.keep_identified(docs)
-    assert kept.columns == docs.columns
-    texts = [r.text for r in kept.collect()]
-    assert texts and all(L.LETTER.search(t) for t in texts)
-    assert len(texts) == sum(bool(r.text and L.LETTER.search(r.text)) for r in docs.collect())
+def test_only_identified_rows_stay(docs, spark, sf):
+    labelled = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.fit(labelled, rejecting=True)
+    kept = L.keep_identified(docs, model)
+    assert kept.columns == docs.columns and all(L.LETTER.search(r.text) for r in kept.collect())
+    rows = [(k, t, None) for k, t in enumerate(L.invented([r.text[:300] for r in labelled.limit(300).collect() if r.text and len(r.text) > 50], 300, seed=4))]
+    assert L.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).count() <= 15
+    clean = labelled.where("text RLIKE '[a-zA-Z]'")
+    assert L.keep_identified(clean, model).count() == clean.count()
+
+
+def test_forward_pass_is_the_plain_network():
+    """Embedding, filters at every place, rectified maximum, softmax, written out with loops."""
+    rng = np.random.default_rng(2)
+    model = L.train([bytes(rng.integers(97, 110, 90)) for _ in range(60)], [str(k % 3) for k in range(60)])
+    windows = np.concatenate([L.windows_of(bytes(rng.integers(0, 256, 300, dtype=np.uint8))) for _ in range(2)])
+    got = model.probabilities(windows, model.tables())
+    for w, p in zip(windows, got, strict=True):
+        features = []
+        for k, filters in model.filters.items():
+            for f in range(filters.shape[2]):
+                best = max(sum(float(model.embedding[w[i + j]] @ filters[j, :, f]) for j in range(k)) for i in range(len(w) - k + 1))
+                features.append(max(0.0, best + float(model.bias[k][f])))
+        z = np.array(features) @ model.dense + model.dense_bias
+        z = np.exp(z - z.max())
+        assert np.allclose(p, z / z.sum(), atol=1e-4)
 
 
 def test_whole_texts_count():
@@ -70,6 +94,34 @@ def test_marginals_are_exact():
     assert np.allclose(p, one / total) and np.allclose(joint[parent >= 0], (two / total)[parent >= 0])
 
 
+def off(got, want):
+    """Characters of blocks that are missing or too many."""
+    got, want = Counter(b for b in got.split("\n\n") if b), Counter(want)
+    return sum(map(len, ((got - want) + (want - got)).elements()))
+
+
+def test_gold_pages():
+    """Pages written by hand, by character; not made by the generator of training pages."""
+    texts = X.extract_texts([html for _, html, _ in GOLD], X.trained())
+    wrong = {name: n for (name, _, want), got in zip(GOLD, texts, strict=True) if (n := off(got, want))}
+    assert len(GOLD) >= 30 and sum(wrong.values()) <= 0.02 * sum(len(b) for *_, want in GOLD for b in want), wrong
+
+
+def supplied_text(html):
+    """The main text of a supplied page, by the one layout that all of them have: what stands in its article."""
+    body = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "", re.search(r"(?s)<article>(.*?)</article>", html)[1])
+    blocks = re.split(r"(?i)</?(?:p|h1|h2|h3|ul|ol|li|div|table|tr|td|blockquote|pre|section)\b[^>]*>", body)
+    done = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]+>", "", re.sub(r"(?i)<br\s*/?>", " ", b)))).strip() for b in blocks)
+    return [b for b in done if b]
+
+
+def test_supplied_pages_by_character(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r.html and "<article>" in r.html]
+    texts = X.extract_texts(pages, X.trained())
+    wrong = sum(off(got, supplied_text(html)) for got, html in zip(texts, pages, strict=True))
+    assert len(pages) > 20 and wrong <= 0.001 * sum(map(len, texts))
+
+
 def test_held_out_layouts():
     rng = random.Random(99)
     pages = [X.parse(X.labelled_page(rng)) for _ in range(200)]
