@@ -1,56 +1,67 @@
-"""The batch job: discover, read, recognise with retries, export, manifest."""
+"""The batch job in one call: discover, read, recognise with retries, export, manifest."""
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pagemill.functions import text
-from pagemill.operators import export, pages, recognise, tasks
-from pagemill.schema import COMPLETED, JobOptions
-from pagemill.sources import files, sinks
+from pagemill import backends
+from pagemill.job import BatchJob, lines
+from pagemill.operators import recognise
+from pagemill.schema import JobOptions
 
 Pager = Callable[[DataFrame], DataFrame]
 
 
 def text_pages(df: DataFrame) -> DataFrame:
-    """A pager for text-like content: lines are pages. Real documents need a pager that renders them (see ``run``)."""
-    return df.withColumn("pages", F.split(F.decode("content", "UTF-8"), "\n"))
+    """A pager for text-like content: lines are pages. Real documents need one that renders them, see ``rendered_pages``."""
+    return lines(df)
 
 
-def run(spark: SparkSession, sources: str | list[str], options: JobOptions | None = None, pager: Pager = text_pages, factory: Callable[[], recognise.Recogniser] = recognise.EchoRecogniser, recursive: bool | None = None) -> DataFrame:
+def rendered_pages(dpi: int) -> Pager:
+    """A pager for images and PDFs: an image is its own page, a PDF is rendered at ``dpi``; pages are encoded images."""
+
+    def render(batches):
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            at, error_at = batch.schema.get_field_index("content"), batch.schema.get_field_index("error")
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                content, error, found = row.column(at)[0].as_py(), row.column(error_at)[0].as_py(), None
+                if content is not None:
+                    try:
+                        found = [content]
+                        if content[:4] == b"%PDF":
+                            found = []
+                            for image in backends.render_pdf(content, dpi):
+                                image.save(raw := io.BytesIO(), "PNG")
+                                found.append(raw.getvalue())
+                    except Exception as e:  # a broken document is a value
+                        found, error = None, str(e)
+                cols = [pa.array([error], pa.string()) if c == error_at else row.column(c) for c in range(batch.num_columns) if c != at]
+                names = [n for c, n in enumerate(batch.schema.names) if c != at]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([found], pa.list_(pa.binary()))], names=[*names, "pages"])
+
+    def pager(df: DataFrame) -> DataFrame:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "content")
+        return df.mapInArrow(render, f"{kinds}, pages array<binary>")
+
+    return pager
+
+
+def run(spark: SparkSession, sources: str | list[str], options: JobOptions | None = None, pager: Pager = text_pages, factory: Callable[[], recognise.Recogniser] = recognise.EchoRecogniser, recursive: bool | None = None, **more) -> DataFrame:
     """The task table of a finished job; results and the manifest are in ``options.output_dir``.
 
     ``pager`` adds a ``pages`` array to rows with ``path`` and ``content``. Recognition runs once: its result is
     written beside the outputs and read again by the exports and the manifest. With nothing to do no manifest is
-    written. An export that fails doesn't run recognition again: it is the task's error.
+    written. An export that fails doesn't run recognition again: it is the task's error. ``more`` goes to BatchJob.
     """
-    options = options or JobOptions()
-    began = time.time()
-    found = files.discover(spark, sources, options.recursive if recursive is None else recursive)
-    if found.isEmpty():
-        return spark.createDataFrame([], "task_id string, source_path string, status string")
-    paged = pager(files.read_content(found)).select(F.sha2("path", 256).alias("task_id"), F.col("path").alias("source_path"), F.col("error").alias("read_error"), "pages")
-    read = recognise.recognise_documents(paged, "pages", factory, options.retries, options.prompt)
-    status = F.when(F.col("read_error").isNotNull(), "FAILED").otherwise(F.col("status"))
-    now = F.lit(time.time())
-    rows = read.select(
-        "task_id", "source_path", status.alias("status"), "retries", F.lit(options.retries).alias("max_retries"), F.lit(began).alias("created_at"), F.lit(began).alias("started_at"), now.alias("completed_at"),
-        (now - F.lit(began)).alias("duration_sec"), F.coalesce("read_error", "error").alias("error"), pages.assembled(F.col("texts")).alias("result_text"), F.size("texts").alias("page_count"),
-    )
-    work = f"{options.output_dir.rstrip('/')}/_results"
-    rows.write.mode("overwrite").parquet(work)
-    rows = spark.read.parquet(work)
-    c, fmt = F.col, options.output_format.lower().strip()
-    done = rows.where(c("status") == COMPLETED)
-    body = export.rendered(F.lit(fmt), c("task_id"), c("source_path"), F.lit(options.model_id), c("duration_sec"), c("page_count"), c("completed_at"), c("result_text"))
-    written = sinks.write_documents(done.select("task_id", text.output_name(c("source_path"), F.lit(fmt)).alias("output_name"), body.alias("body")), options.output_dir)
-    written.write.mode("overwrite").parquet(f"{work}_paths")
-    paths = spark.read.parquet(f"{work}_paths").withColumnRenamed("error", "export_error")
-    table = rows.join(paths, "task_id", "left").withColumn("error", F.coalesce("export_error", "error")).drop("export_error")
-    summary = tasks.manifest_summary(table, time.time() - began, options.model_id).withColumn("timestamp", text.format_epoch(F.lit(time.time())))
-    sinks.write_manifest(summary, tasks.task_projection(table).orderBy(F.split("source_path", "/")), options.output_dir)
-    return table
+    options = options or JobOptions(enable_dashboard=False)
+    if recursive is not None:
+        options = replace(options, recursive=recursive)
+    return BatchJob(spark, sources, options, pager, factory, **more).run()

@@ -25,3 +25,7 @@ class DownloadError(PagemillError):
 
 class HardwareInspectionError(PagemillError):
     """The machine could not be inspected."""
+
+
+class BackendUnavailableError(PagemillError):
+    """A model or renderer needs a package that isn't installed."""

@@ -7,14 +7,28 @@ import threading
 import time
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from typing import Protocol
 from urllib.parse import urlsplit
 
 from pagemill.operators.requests import ROUTES
-from pagemill.streaming.jobs import JobControl
 
 PAGE = b"<!doctype html><title>pagemill</title><h1>Batch job</h1><pre id=s></pre><script>new EventSource('/api/stream').addEventListener('metrics',e=>{document.getElementById('s').textContent=e.data})</script>"
 
 
+class Control(Protocol):
+    """What the adapter's buttons do: a JobControl, or a BatchJob."""
+
+    status: str
+
+    def pause(self) -> None: ...
+
+    def resume(self) -> None: ...
+
+    def cancel(self) -> None: ...
+
+    def reconfigure(self, workers: int | None = None, output_format: str | None = None, retries: int | None = None) -> None: ...
+
+
 class LogBuffer:
     """The newest lines of a log with sequence numbers that never repeat."""
 
@@ -36,7 +50,7 @@ class LogBuffer:
             return [line for _, line in self.lines[-n:]]
 
 
-def serve(control: JobControl, metrics: Callable[[], dict], tasks: Callable[[], list[dict]], log: LogBuffer, retry_failed: Callable[[], int], host: str = "127.0.0.1", port: int = 8765, period: float = 1.0) -> ThreadingHTTPServer:
+def serve(control: Control, metrics: Callable[[], dict], tasks: Callable[[], list[dict]], log: LogBuffer, retry_failed: Callable[[], int], host: str = "127.0.0.1", port: int = 8765, period: float = 1.0) -> ThreadingHTTPServer:
     """Start the adapter in a thread of its own; an open event stream doesn't block other requests."""
 
     class Handler(BaseHTTPRequestHandler):

@@ -42,6 +42,11 @@ def task_prompt(task: Column, schema: Column) -> Column:
     return out.otherwise(F.lit(DEFAULT_PROMPT))
 
 
+def json_prompt(schema: str | None = None) -> str:
+    """``task_prompt`` of one json request."""
+    return TASK_PROMPTS["json"] + (SCHEMA_PROMPT + schema if schema else "")
+
+
 def chat_message(role: Column, image: Column, text: Column) -> Column:
     """A chat request as JSON: one message with an image item and a text item."""
     items = F.array(F.struct(F.lit("image").alias("type"), image.alias("image"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("image"), text.alias("text")))

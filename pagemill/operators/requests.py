@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import route_path, suffix
+from pagemill.functions.text import json_text, route_path, suffix
 from pagemill.operators.prompts import DEFAULT_PROMPT
 from pagemill.schema import RECONFIGURE, URL_REQUEST
 
@@ -35,6 +35,14 @@ def rest_route(loaded: Column, file: Column, image_url: Column) -> Column:
     return F.struct(status.alias("status"), F.when(ok, pdf).alias("is_pdf"), reader.alias("reader"))
 
 
+def rest_response(is_pdf: Column, text: Column, pages: Column, device: Column, seconds: Column) -> Column:
+    """The JSON body of an answered request: ``pages`` of a PDF, else ``text``, the device and the seconds it took."""
+    seconds = F.round(seconds, 3).alias("execution_time_seconds")
+    whole = F.struct(F.lit("success").alias("status"), F.lit(True).alias("is_pdf"), pages.alias("pages"), device.alias("device_used"), seconds)
+    single = F.struct(F.lit("success").alias("status"), F.lit(False).alias("is_pdf"), text.alias("text"), device.alias("device_used"), seconds)
+    return F.when(is_pdf, json_text(whole)).otherwise(json_text(single))
+
+
 def url_request(body: Column) -> Column:
     """struct(status, image_url, prompt, max_new_tokens, is_pdf) of a JSON body; 422 if it isn't JSON or has no image_url."""
     parsed = F.from_json(body, URL_REQUEST)

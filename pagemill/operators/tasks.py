@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import file_name, json_text, preview
-from pagemill.schema import COMPLETED, FAILED, PENDING, QUEUED
+from pagemill.schema import COMPLETED, FAILED, PENDING, PROCESSING, QUEUED, JobOptions
 
 
 def latest_status(events: DataFrame, task: str, status: str, *order: str) -> DataFrame:
@@ -65,20 +65,37 @@ def task_json(tasks: DataFrame) -> Column:
     return json_text(F.struct(*tasks.columns))
 
 
-def job_metrics(tasks: DataFrame, elapsed: float) -> DataFrame:
-    """One row of counters, speed and time left; speed and time left are 0 until something is done."""
+def job_metrics(tasks: DataFrame, elapsed: float, state: str = "RUNNING", options: JobOptions = JobOptions(), gauges: dict | None = None) -> DataFrame:
+    """One row with the fields of schema.METRICS: the job's state, counters, speed and time left, and the machine's ``gauges``.
+
+    Speed and time left are 0 until something is done; tasks in progress are the active workers, each having one at a time.
+    """
     done, failed, total = F.count_if(F.col("status") == COMPLETED), F.count_if(F.col("status") == FAILED), F.count("*")
     speed = done / F.lit(float(elapsed))
     working = (done > 0) & F.lit(elapsed > 0)
+    gauges = gauges or {}
+    gauge = lambda name, digits: F.round(F.lit(float(gauges.get(name) or 0.0)), digits).alias(name)
     return tasks.agg(
+        F.lit(state).alias("status"),
         total.alias("total_files"),
         done.alias("processed_files"),
         failed.alias("failed_files"),
         F.count_if(F.col("status").isin(*PENDING)).alias("queued_files"),
+        F.count_if(F.col("status") == PROCESSING).cast("int").alias("active_workers"),
+        F.lit(options.workers).alias("target_workers"),
         F.round(F.when(working, speed).otherwise(F.lit(0.0)), 2).alias("processing_speed_fps"),
         F.round(F.lit(float(elapsed)), 1).alias("elapsed_time_sec"),
         F.round(F.when(working, (total - done - failed) / speed).otherwise(F.lit(0.0)), 1).alias("eta_sec"),
-    )
+        gauge("cpu_percent", 1), gauge("ram_used_gb", 2), gauge("ram_total_gb", 2), gauge("vram_used_gb", 2), gauge("vram_total_gb", 2),
+        F.lit(gauges.get("gpu_name")).cast("string").alias("gpu_name"),
+        F.lit(options.model_id).alias("model_id"),
+        F.lit(options.output_format).alias("output_format"),
+    )
+
+
+def used_percent(used: Column, total: Column) -> Column:
+    """Share of memory in use, in percent; 0 where the total isn't known."""
+    return F.round(F.when(total > 0, used / total * 100).otherwise(F.lit(0.0)), 1)
 
 
 def prefix_totals(df: DataFrame, bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import rules, text
 from pagemill.operators import catalog, export, pages, prompts, recognise, requests, tasks
 from pagemill.plans import standins as S
+from pagemill.schema import JobOptions
 from pagemill.sources import kinds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,10 +280,19 @@ def manifest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT count(*) AS total_files, {_DONE} AS processed_files, {_LOST} AS failed_files, count(*) FILTER (status IN ('QUEUED', 'PROCESSING', 'RETRYING')) AS queued_files,
- round({_DONE} / {S.ELAPSED}::DOUBLE, 2) AS processing_speed_fps, round({S.ELAPSED}::DOUBLE, 1) AS elapsed_time_sec, round((count(*) - {_DONE} - {_LOST}) / ({_DONE} / {S.ELAPSED}::DOUBLE), 1) AS eta_sec FROM ({S.SQL_TASKS})"""
+ round({_DONE} / {S.ELAPSED}::DOUBLE, 2) AS processing_speed_fps, round({S.ELAPSED}::DOUBLE, 1) AS elapsed_time_sec, round((count(*) - {_DONE} - {_LOST}) / ({_DONE} / {S.ELAPSED}::DOUBLE), 1) AS eta_sec,
+ 'PAUSED' AS status, CAST(count(*) FILTER (status = 'PROCESSING') AS INTEGER) AS active_workers, 6 AS target_workers, 12.3::DOUBLE AS cpu_percent, 7.25::DOUBLE AS ram_used_gb, 31.5::DOUBLE AS ram_total_gb,
+ 1.5::DOUBLE AS vram_used_gb, 8.0::DOUBLE AS vram_total_gb, 'card' AS gpu_name, 'smolvlm' AS model_id, 'csv' AS output_format FROM ({S.SQL_TASKS})"""
 )
 def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.job_metrics(S.tasks(spark, sf_dir), S.ELAPSED)
+    gauges = {"cpu_percent": 12.34, "ram_used_gb": 7.25, "ram_total_gb": 31.5, "vram_used_gb": 1.5, "vram_total_gb": 8.0, "gpu_name": "card"}
+    return tasks.job_metrics(S.tasks(spark, sf_dir), S.ELAPSED, "PAUSED", JobOptions(workers=6, model_id="smolvlm", output_format="csv"), gauges)
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 > 0 THEN round(CAST(p_size AS DOUBLE) / (p_size % 7 * 50) * 100, 1) ELSE 0.0 END AS used_percent FROM part")
+def used_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("double")
+    return S.table(spark, sf_dir, "part").select("p_partkey", tasks.used_percent(size, F.col("p_size") % 7 * 50).alias("used_percent"))
 
 
 @query(
@@ -577,6 +587,21 @@ def rest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", requests.rest_route(F.col("loaded"), F.col("file"), F.col("url")).alias("r")).select("event_id", "r.*")
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0
+ THEN '{"status":"success","is_pdf":true,"pages":[' || CASE WHEN event_id % 2 = 0 THEN '{"page":1,"total_pages":2,"text":"a ' || event_id || '"},{"page":2,"total_pages":2,"text":"b \\"q\\""}' ELSE '' END || '],"device_used":"cpu","execution_time_seconds":' || (event_id % 100) || '.5}'
+ ELSE '{"status":"success","is_pdf":false,"text":' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"text é ' || event_id || '"' END || ',"device_used":"cuda","execution_time_seconds":' || (event_id % 100) || '.5}' END AS body FROM events"""
+)
+def rest_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("event_id")
+    page = lambda n, t: F.struct(F.lit(n).alias("page"), F.lit(2).alias("total_pages"), t.alias("text"))
+    both = F.array(page(1, F.concat(F.lit("a "), key.cast("string"))), page(2, F.lit('b "q"')))
+    pages_ = F.when(key % 2 == 0, both).otherwise(F.slice(both, 1, 0))
+    text_ = F.when(key % 5 != 0, F.concat(F.lit("text é "), key.cast("string")))
+    body = requests.rest_response(key % 3 == 0, text_, pages_, F.when(key % 3 == 0, "cpu").otherwise("cuda"), key % 100 + F.lit(0.5))
+    return S.table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+
+
 _BODY = """CASE event_id % 4 WHEN 0 THEN '{"image_url": "https://h/' || event_id || '.pdf", "prompt": "p' || event_id || '", "max_new_tokens": ' || (event_id % 100) || '}' WHEN 1 THEN '{"image_url": "https://h/' || event_id || '.png"}' WHEN 2 THEN '{"prompt": "x"}' ELSE 'no json' END"""
 
 
