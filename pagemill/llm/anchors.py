@@ -14,7 +14,7 @@ bucket one entry for each task and step, not one for each occurrence.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import CLEAR, input_bytes, materialise, mix, pieces, ragged, runs, task
+from pagemill.llm.common import CLEAR, binary, input_bytes, materialise, mix, pieces, ragged, runs, tags, task
 
 BASE1, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 FLUSH, STEP = 100_000, 400_000
@@ -140,10 +140,13 @@ def find_anchors(letters: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[n
 
 # ---------------------------------------------------------------- packed exchange
 
-_FIELDS = (("f", np.uint64), ("e", np.uint64), ("id", np.int64), ("tag", np.int32), ("back", np.int32), ("ahead", np.int32), ("count", np.int32))
+_FIELDS = (("f", np.uint64), ("e", np.uint64), ("id", np.int64), ("t1", np.int64), ("t2", np.int64), ("back", np.int32), ("ahead", np.int32), ("count", np.int32))
 #: Hashes travel in 48 bits: a setting is told from others by 96 bits, and a core's chance namesake only costs a look.
 HASH = np.uint64((1 << 48) - 1)
-OCCURRENCES = "f long, e long, id long, tag int, back int, ahead int, positions array<long>"
+OCCURRENCES = "f long, e long, id long, t1 long, t2 long, back int, ahead int, positions array<long>"
+
+#: What names a row: its id and 128 bits of its text.
+NAME = ("id", "t1", "t2")
 
 Rows = dict[str, np.ndarray]
 """Columns by name, one row for each core, setting and text; ``positions`` has each row's ``count`` positions in turn."""
@@ -182,7 +185,7 @@ def _unpack(packed: bytes) -> Rows:
     return out | {"positions": _from_planes(raw, at, (size - at) // 8, np.int64)}
 
 
-def _collapse(text: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, f: np.ndarray, e: np.ndarray, bounds: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> Rows:
+def _collapse(text: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray, f: np.ndarray, e: np.ndarray, bounds: np.ndarray, names: list[np.ndarray]) -> Rows:
     """One row for all places where a text has the same core in the same setting."""
     order = np.lexsort((p, e, f, text))
     text, p, low, high, f, e = (x[order] for x in (text, p, low, high, f, e))
@@ -191,21 +194,24 @@ def _collapse(text: np.ndarray, p: np.ndarray, low: np.ndarray, high: np.ndarray
     first = np.flatnonzero(new)
     own = text[first]
     return {
-        "f": f[first] & HASH, "e": e[first] & HASH, "id": ids[own], "tag": tags[own], "back": (p - low)[first].astype(np.int32), "ahead": (high - p)[first].astype(np.int32),
+        "f": f[first] & HASH, "e": e[first] & HASH, **{k: v[own] for k, v in zip(NAME, names, strict=True)}, "back": (p - low)[first].astype(np.int32), "ahead": (high - p)[first].astype(np.int32),
         "count": np.diff(np.append(first, len(f))).astype(np.int32), "positions": p - bounds[text],
     }
 
 
 def _repeats(rows: Rows, order: np.ndarray, across: bool, known: np.ndarray) -> np.ndarray:
-    """Which runs of one core in ``order`` (sorted by f, id, tag) are repeats, as a mask over ``order``: the core is in two texts
+    """Which runs of one core in ``order`` (sorted by f and name) are repeats, as a mask over ``order``: the core is in two texts
     or (not ``across``) twice in one, or somebody else has it too (``known``)."""
-    f, i, t = (rows[k][order] for k in ("f", "id", "tag"))
+    f = rows["f"][order]
     new = np.ones(len(order), bool)
     new[1:] = f[1:] != f[:-1]
     weight = rows["count"][order].astype(np.int64)
     if across:
-        weight = np.ones(len(order), np.int64)
-        weight[1:] = new[1:] | (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+        other = new.copy()
+        for k in NAME:
+            value = rows[k][order]
+            other[1:] |= value[1:] != value[:-1]
+        weight = other.astype(np.int64)
     first = np.flatnonzero(new)
     enough = np.add.reduceat(weight + 2 * known[order], first) > 1
     return np.repeat(enough, np.diff(np.append(first, len(order))))
@@ -214,10 +220,10 @@ def _repeats(rows: Rows, order: np.ndarray, across: bool, known: np.ndarray) ->
 def _flush(parts: list[Rows], buckets: int, turn: int, across: bool) -> Iterator[tuple[int, bool, bytes]]:
     rows = _join(parts)
     n = len(rows["f"])
-    order = np.lexsort((rows["tag"], rows["id"], rows["f"]))
+    order = np.lexsort((rows["t2"], rows["t1"], rows["id"], rows["f"]))
     twice = _repeats(rows, order, across, np.zeros(n, np.int64))
     direct = np.sort(order[twice])
-    step = -(-len(direct) // 20_000) or 1
+    step = -(-len(direct) // 5_000) or 1
     for k in range(step):
         own = direct[k::step]
         if len(own):
@@ -249,8 +255,8 @@ def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int, across: b
 
     def rows() -> Iterator[pa.RecordBatch]:
         out = list(_flush(parts, buckets, turn, across))
-        for k in range(0, len(out), 64):
-            some = out[k : k + 64]
+        for k in range(0, len(out), 16):
+            some = out[k : k + 16]
             yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.bool_()), pa.array([r[2] for r in some], pa.binary())], names=["bucket", "direct", "packed"])
 
     for batch in batches:
@@ -259,8 +265,7 @@ def _send(batches: Iterator[pa.RecordBatch], unit: Unit, buckets: int, across: b
             found = find_anchors(letters, bounds, unit)
             if not len(found[0]):
                 continue
-            ids, tags = part.column(0).to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False)
-            parts.append(_collapse(*found, bounds, ids, tags))
+            parts.append(_collapse(*found, bounds, [part.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3)]))
             held += len(parts[-1]["f"])
             if held >= FLUSH:
                 yield from rows()
@@ -280,7 +285,7 @@ def _repeated(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Re
             offsets = np.zeros(len(own["f"]) + 1, np.int32)
             np.cumsum(own["count"], out=offsets[1:])
             places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(own["positions"]))
-            yield pa.record_batch([pa.array(own["f"].view(np.int64)), pa.array(own["e"].view(np.int64)), *(pa.array(own[c]) for c in ("id", "tag", "back", "ahead")), places], names=["f", "e", "id", "tag", "back", "ahead", "positions"])
+            yield pa.record_batch([pa.array(own["f"].view(np.int64)), pa.array(own["e"].view(np.int64)), *(pa.array(own[x]) for x in (*NAME, "back", "ahead")), places], names=["f", "e", *NAME, "back", "ahead", "positions"])
 
     for group in runs(batches, 1):
         parts = []
@@ -293,27 +298,17 @@ def _repeated(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Re
         if not parts:
             continue
         c = _join(parts)
-        order = np.lexsort((c["tag"], c["id"], c["f"]))
+        order = np.lexsort((c["t2"], c["t1"], c["id"], c["f"]))
         marker = c["count"] == 0
         keep = np.sort(order[_repeats(c, order, across, marker.astype(np.int64))])
         yield from emit(c, keep[~marker[keep]])
 
 
-def checksum(text: Column) -> Column:
-    return (F.crc32(text.cast("binary")) % 65536).cast("int")
-
-
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (a null one as the least long), text and tag: a checksum that tells rows of one id apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), checksum(text).alias("tag"))
-
-
-def keyed_rows(df: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
-    """``keyed`` with the named columns beside it, as one struct so that no names clash."""
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+def keyed(df: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> DataFrame:
+    """id (a null one as the least long), text, t1, t2, and the named columns beside them as one struct ``row``, so that no names clash."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(row.alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), checksum(text).alias("tag"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns is not None else []
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), *tags(text), *rest)
 
 
 def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
@@ -329,12 +324,17 @@ def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
 # ---------------------------------------------------------------- from anchors to spans of texts
 
 
+_CLASS = ("f", "e", "back", "copies", "least", "rivals")
+SNIPPETS = "f long, e long, back int, copies long, least long, rivals long, units binary"
+WINDOWS = "f long, e long, windows array<struct<first:int,last:int,least:long>>"
+
+
 @task("anchors")
 def _snippets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
     """For each class its representative's units: bytes as they are, words as 64-bit letters."""
     for batch in batches:
         for part, data, offsets in pieces(batch, limit=STEP):
-            wanted = part.column(2)
+            wanted = part.column(1)
             flat = wanted.flatten()
             if not len(flat):
                 continue
@@ -343,38 +343,88 @@ def _snippets(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.Reco
             units, bounds = (data, offsets) if not unit.words else letters_of(data, offsets, unit)
             start = bounds[row] + field("pos") - field("back")
             end = bounds[row] + field("pos") + field("ahead") + unit.size
-            cut = [units[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            yield pa.record_batch([flat.field(k) for k in ("f", "e", "back", "copies", "least", "rivals")] + [pa.array(cut, pa.binary())], names=["f", "e", "back", "copies", "least", "rivals", "units"])
+            for k in range(0, len(start), 4096):
+                cut = [units[a:b].tobytes() for a, b in zip(start[k : k + 4096].tolist(), end[k : k + 4096].tolist(), strict=True)]
+                yield pa.record_batch([*(flat.field(c).slice(k, 4096) for c in _CLASS), pa.array(cut, pa.binary())], names=[*_CLASS, "units"])
 
 
-SNIPPETS = "f long, e long, back int, copies long, least long, rivals long, units binary"
+_LONGER = "f long, e long, back int, copies long, least long, units binary, f0 long, e0 long, at int"
 
 
-def spans(docs: DataFrame, unit: Unit, resolve: Callable[[DataFrame], DataFrame], earlier_only: bool) -> DataFrame:
-    """(id, tag, spans) of every text with something to remove; a span has positions and the windows around each, see ``ranges``.
+@task("anchors")
+def _longer(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
+    """The snippets' windows under the longer cores of ``unit``, with their first core and setting and their place beside it."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            raw, offsets = binary(part.column(6))
+            units, bounds = (raw.view(np.uint64), offsets // 8) if unit.words else (raw, offsets)
+            text, p, low, high, f, e = find_anchors(units if unit.words else _BYTES[units], bounds, unit)
+            f0, e0, back, copies, least = (part.column(c).to_numpy()[text] for c in range(5))
+            cut = [units[a:b].tobytes() for a, b in zip(low.tolist(), (high + unit.size).tolist(), strict=True)]
+            at = (p - bounds[text] - back).astype(np.int32)
+            cols = [(f & HASH).view(np.int64), (e & HASH).view(np.int64), (p - low).astype(np.int32), copies, least]
+            yield pa.record_batch([*map(pa.array, cols), pa.array(cut, pa.binary()), *map(pa.array, (f0, e0, at))], names=["f", "e", "back", "copies", "least", "units", "f0", "e0", "at"])
+
+
+def _rivals(classes: DataFrame) -> tuple[DataFrame, int]:
+    """The classes with the number of settings of their core, and the largest such number."""
+    counts = classes.groupBy("f").agg(F.count("*").alias("rivals"))
+    return classes.join(counts, "f"), counts.agg(F.max("rivals")).first()[0] or 0
+
+
+Solver = Callable[[DataFrame], DataFrame]
 
-    ``resolve`` gets the distinct snippets around the cores that occur in more than one setting and returns for
-    each (f, e) an array of (first, last, least): windows, counted from the anchor, that occur more than once,
-    with the smallest id that has them. Where all settings of a core are one, every window is a repeat.
-    ``earlier_only`` keeps windows that a smaller id has elsewhere; otherwise any repeat counts.
+
+def resolve(snippets: DataFrame, most: int, unit: Unit, solve: Solver, limit: int) -> DataFrame:
+    """The repeated windows of every (f, e) among distinct snippets, see ``WINDOWS``.
+
+    ``solve`` looks at all snippets of a core in one task. A core of more than ``limit`` settings is too much for
+    one: the windows around it are parted by longer cores, at last by cores as long as a window, which have one
+    setting each, and solved there in the same way; the answers go back to the snippets they came from.
+    """
+    if most <= limit or unit.reach == 1:
+        return solve(snippets)
+    snippets = materialise(snippets, "snippets")
+    longer = replace(unit, reach=max(1, unit.reach // 3))
+    parted = materialise(snippets.where(F.col("rivals") > limit).mapInArrow(lambda it: _longer(it, longer), _LONGER), "longer")
+    classes = parted.groupBy("f", "e").agg(F.first("back").alias("back"), F.sum("copies").alias("copies"), F.min("least").alias("least"), F.first("units").alias("units"))
+    classes, again = _rivals(materialise(classes, "longer-classes"))
+    told = resolve(classes.select(*_CLASS, "units"), again, longer, solve, limit)
+    shifted = F.transform("windows", lambda w: F.struct((w["first"] + F.col("at")).alias("first"), (w["last"] + F.col("at")).alias("last"), w["least"].alias("least")))
+    back = parted.select("f", "e", "f0", "e0", "at").join(told, ["f", "e"]).select(F.col("f0").alias("f"), F.col("e0").alias("e"), shifted.alias("windows"))
+    # the windows of one snippet: no more than the first core's reach
+    back = back.groupBy("f", "e").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    return solve(snippets.where(F.col("rivals") <= limit)).unionByName(back)
+
+
+def spans(docs: DataFrame, unit: Unit, solve: Solver, limit: int, earlier_only: bool, lone: bool) -> DataFrame:
+    """(id, t1, t2, spans) of every text with something to remove; a span has positions and the windows around each, see ``ranges``.
+
+    ``solve`` gets the distinct snippets around the cores that repeat and returns for each (f, e) an array of (first,
+    last, least): windows, counted from the anchor, that occur more than once, with the smallest id that has them.
+    With ``lone`` it also gets the cores that always have the same setting; otherwise their windows, of which each
+    occurrence has all, need no structure: they repeat as often as the setting does. ``earlier_only`` keeps windows
+    that a smaller id has elsewhere; otherwise any repeat counts.
     """
     found = materialise(occurrences(docs, unit, earlier_only), "occurrences")
     # first by core and setting, which the map side combines, so that a frequent core's occurrences never meet in one task
-    first = [F.first(c).alias(c) for c in ("id", "tag", "back", "ahead")]
+    first = [F.first(c).alias(c) for c in (*NAME, "back", "ahead")]
     classes = found.groupBy("f", "e").agg(F.sum(F.size("positions")).alias("copies"), F.min("id").alias("least"), F.first(F.get("positions", F.lit(0))).alias("pos"), *first)
-    classes = materialise(classes, "classes")
-    classes = classes.join(classes.groupBy("f").agg(F.count("*").alias("rivals")), "f")
-    wanted = classes.where("rivals > 1").groupBy("id", "tag").agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
-    cut = docs.join(wanted, ["id", "tag"]).select("id", "text", "wanted").mapInArrow(lambda it: _snippets(it, unit), SNIPPETS)
-    resolved = materialise(resolve(cut), "resolved")
-    whole = F.array(F.struct((-F.col("back")).alias("first"), F.col("ahead").alias("last"), "least"))
-    told = classes.where("rivals = 1").select("f", "e", whole.alias("windows")).unionByName(resolved)
-    hit = found.select("f", "e", "id", "tag", "positions").join(told, ["f", "e"])
+    classes, most = _rivals(materialise(classes, "classes"))
+    wanted = classes if lone else classes.where("rivals > 1")
+    wanted = wanted.groupBy(*NAME).agg(F.collect_list(F.struct("f", "e", "pos", "back", "ahead", "copies", "least", "rivals")).alias("wanted"))
+    cut = docs.select(*NAME, "text").join(wanted, [*NAME]).select("text", "wanted").mapInArrow(lambda it: _snippets(it, unit), SNIPPETS)
+    told = materialise(resolve(cut, most, unit, solve, limit), "resolved")
+    if not lone:
+        whole = F.array(F.struct((-F.col("back")).alias("first"), F.col("ahead").alias("last"), "least"))
+        told = told.unionByName(classes.where("rivals = 1 AND copies > 1").select("f", "e", whole.alias("windows")))
+    hit = found.select("f", "e", *NAME, "positions").join(told, ["f", "e"])
     if earlier_only:
         hit = hit.withColumn("windows", F.filter("windows", lambda w: w["least"] < F.col("id"))).where(F.size("windows") > 0)
     windows = F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))
     # the spans of one text: no more than its length has room for
-    return hit.groupBy("id", "tag").agg(F.collect_list(F.struct("positions", windows.alias("windows"))).alias("spans"))
+    return hit.groupBy(*NAME).agg(F.collect_list(F.struct("positions", windows.alias("windows"))).alias("spans"))
 
 
 def ranges(column: pa.ListArray, size: int) -> list[tuple[list[int], list[int]]]:
@@ -403,9 +453,6 @@ def ranges(column: pa.ListArray, size: int) -> list[tuple[list[int], list[int]]]
     return out
 
 
-WINDOWS = "f long, e long, windows array<struct<first:int,last:int,least:long>>"
-
-
 def merge(start: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
     """Union of ranges; ranges that touch become one."""
     order = np.argsort(start, kind="stable")

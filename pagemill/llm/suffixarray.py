@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.anchors import BASE1, BASE2, NO_ID, WINDOWS, Sums, Unit, _BYTES, keyed, keyed_rows, ranges, spans
-from pagemill.llm.common import STEP_BYTES, ragged, runs, task
+from pagemill.llm.anchors import NAME, NO_ID, WINDOWS, Solver, Unit, keyed, ranges, spans
+from pagemill.llm.common import ragged, runs, task
 
 LENGTH, REACH = 200, 128
-#: Cores with more settings than this are compared window by window through a grouped count instead of one array.
+#: Settings of one core that one array holds, more are parted by longer cores; bytes of a step.
 RIVALS, BATCH = 1024, 250_000
 
 
@@ -234,29 +234,14 @@ def _resolve(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield from solve()
 
 
-@task("anchors")
-def _hashed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            units = np.frombuffer(batch.column(6)[k].as_py(), np.uint8)
-            letters = _BYTES[units]
-            h1, h2 = Sums(letters, BASE1).all(length), Sums(letters, BASE2).all(length)
-            n = len(h1)
-            full = lambda c, n=n, k=k: pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64))  # noqa: B023, E731
-            yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), full(0), full(1), pa.array((np.arange(n) - batch.column(2)[k].as_py()).astype(np.int32)), full(3)], names=["h1", "h2", "f", "e", "at", "copies"])
-
-
-def resolver(length: int = LENGTH, rivals: int = RIVALS):
-    """How ``spans`` finds repeated windows: a suffix array for each core; cores with very many settings by counted window hashes."""
+def solver(length: int = LENGTH) -> Solver:
+    """How ``spans`` finds repeated windows: a suffix array for each core."""
+    return lambda snippets: snippets.repartition("f").sortWithinPartitions("f").mapInArrow(lambda it: _resolve(it, length), WINDOWS)
 
-    def resolve(snippets: DataFrame) -> DataFrame:
-        few = snippets.where(F.col("rivals") <= rivals).repartition("f").sortWithinPartitions("f").mapInArrow(lambda it: _resolve(it, length), WINDOWS)
-        many = snippets.where(F.col("rivals") > rivals).mapInArrow(lambda it: _hashed(it, length), "h1 long, h2 long, f long, e long, at int, copies long")
-        again = many.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).where("n > 1").select("h1", "h2")
-        hit = many.join(again, ["h1", "h2"]).groupBy("f", "e").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), F.lit(NO_ID).alias("least"))).alias("windows"))
-        return few.unionByName(hit)
 
-    return resolve
+def _spans(docs: DataFrame, length: int) -> DataFrame:
+    unit = Unit(words=False, size=length, reach=max(1, min(REACH, length * 16 // 25)))
+    return spans(docs, unit, solver(length), RIVALS, earlier_only=False, lone=False)
 
 
 @task("anchors")
@@ -289,10 +274,9 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     what they share; rows may share an id or have none; an empty table gives no rows; other columns are ignored.
     ``text`` drops bytes of a character that was cut in two; the hash is of the exact bytes.
     """
-    unit = Unit(words=False, size=length, reach=max(1, min(REACH, length * 16 // 25)))
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * keep_text
-    return docs.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, length, keep_text), schema)
+    return docs.join(_spans(docs, length), [*NAME], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, length, keep_text), schema)
 
 
 @task("anchors")
@@ -307,11 +291,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """The rows with all their columns, ``text_col`` without its repeated bytes (see ``dedup_bytes``); a null text becomes empty."""
-    unit = Unit(words=False, size=length, reach=max(1, min(REACH, length * 16 // 25)))
-    docs = keyed(df, id_col, text_col)
-    rest = [c for c in df.columns if c != text_col]
-    rows = keyed_rows(df, rest, id_col, text_col)
-    found = rows.join(spans(docs, unit, resolver(length), earlier_only=False), ["id", "tag"], "left").select("row", "text", "spans")
+    rows = keyed(df, id_col, text_col, [c for c in df.columns if c != text_col])
+    found = rows.join(_spans(rows.drop("row"), length), [*NAME], "left").select("row", "text", "spans")
     schema = T.StructType([T.StructField("row", found.schema["row"].dataType), T.StructField("kept", T.StringType())])
     cut = found.mapInArrow(lambda it: _cut(it, length), schema)
     return cut.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -1,7 +1,8 @@
 """Substring deduplication of words with prefix-partitioned suffix trees.
 
-Suffixes are split by variable-length prefixes: a prefix that too many suffixes share is extended word by word
-until each group fits in memory, small groups are put together, and for each such set the subtrees are built
+Suffixes are split by variable-length prefixes: tasks get the suffixes around one core, or a longer one where too
+many share it; a prefix that too many of a task's suffixes share is extended word by word until each group fits
+in memory, small groups are put together, and for each such set the subtrees are built
 from their sorted leaves and the branching depths between neighbours, reading an elastic range of words at a
 time: the fewer suffixes still share a branch, the more words each reads. Internal nodes at least as deep as the
 window are the maximal repeats; a node knows the smallest id among its leaves.
@@ -15,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pagemill.llm.anchors import BASE1, NO_ID, WINDOWS, Sums, Unit, keyed, ranges, spans
-from pagemill.llm.common import ragged, runs, task
+from pagemill.llm.anchors import NAME, NO_ID, WINDOWS, Solver, Unit, keyed, ranges, spans
+from pagemill.llm.common import binary, ragged, runs, task
 
 WORDS, REACH = 13, 10
-#: Suffixes that one set of subtrees holds; words all active suffixes read at once; settings of one core that are sorted in one task.
+#: Suffixes that one set of subtrees holds; words all active suffixes read at once; settings of one core that one
+#: task holds: more are parted by longer cores.
 MEMORY, READ, RIVALS = 40_000, 400_000, 2048
 
 
@@ -101,86 +102,49 @@ def repeats(x: np.ndarray, group: np.ndarray, least: np.ndarray, memory: int = M
     return smallest, size
 
 
-def _windows(units: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First ``words`` words of every suffix of several snippets that has so many, its snippet and its place there."""
-    flat = np.frombuffer(b"".join(units), np.uint64)
-    lens = np.array([len(u) // 8 for u in units], np.int64)
-    base = np.cumsum(lens) - lens
-    count = np.maximum(lens - words + 1, 0)
-    start = ragged(base, count)
-    owner = np.repeat(np.arange(len(units)), count)
-    return flat[start[:, None] + np.arange(words)], owner, start - base[owner]
+def _windows(units: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First ``words`` words of every suffix of several snippets that has so many (a view for each place), its snippet and its place there."""
+    count = np.maximum(np.diff(bounds) - words + 1, 0)
+    start = ragged(bounds[:-1], count)
+    owner = np.repeat(np.arange(len(count)), count)
+    view = np.lib.stride_tricks.sliding_window_view(units, words) if len(units) >= words else np.zeros((0, words), np.uint64)
+    return view[start], owner, start - bounds[owner]
 
 
 _KIND = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())]))
 
 
+def _solve(t: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
+    f, e, back, copies, least = (t.column(k).to_numpy() for k in range(5))
+    raw, offsets = binary(t.column(6))
+    x, owner, at = _windows(raw.view(np.uint64), offsets // 8, words)
+    low, many = repeats(x, f[owner], least[owner])
+    told = np.flatnonzero((many > 1) | (copies[owner] > 1))
+    if len(told):
+        owner, first, low = owner[told], (at[told] - back[owner[told]]).astype(np.int32), low[told]
+        new = np.append(0, np.flatnonzero(np.diff(owner)) + 1)
+        offsets = pa.array(np.append(new, len(owner)).astype(np.int32))
+        values = pa.StructArray.from_arrays([pa.array(first), pa.array(first), pa.array(low)], fields=list(_KIND.value_type))
+        yield pa.record_batch([pa.array(f[owner[new]]), pa.array(e[owner[new]]), pa.ListArray.from_arrays(offsets, values)], names=["f", "e", "windows"])
+
+
 @task("anchors")
 def _resolve(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
     size = 0
-
-    def solve() -> Iterator[pa.RecordBatch]:
-        t = pa.concat_tables(held)
-        f, e, back, copies, least = (t.column(k).to_numpy() for k in range(5))
-        x, owner, at = _windows(t.column(6).to_pylist(), words)
-        low, many = repeats(x, f[owner], least[owner])
-        told = np.flatnonzero((many > 1) | (copies[owner] > 1))
-        if len(told):
-            owner, first, low = owner[told], (at[told] - back[owner[told]]).astype(np.int32), low[told]
-            new = np.append(0, np.flatnonzero(np.diff(owner)) + 1)
-            offsets = pa.array(np.append(new, len(owner)).astype(np.int32))
-            values = pa.StructArray.from_arrays([pa.array(first), pa.array(first), pa.array(low)], fields=list(_KIND.value_type))
-            yield pa.record_batch([pa.array(f[owner[new]]), pa.array(e[owner[new]]), pa.ListArray.from_arrays(offsets, values)], names=["f", "e", "windows"])
-
     for group in runs(batches, 1):
         held.append(group)
-        size += sum(map(len, group.column(6).to_pylist())) // 8
-        if size >= 4 * MEMORY:
-            yield from solve()
+        size += pa.compute.sum(pa.compute.binary_length(group.column(6))).as_py() // 8
+        if size >= MEMORY:
+            yield from _solve(pa.concat_tables(held), words)
             held, size = [], 0
     if held:
-        yield from solve()
-
-
-_SUFFIXES = "prefix long, f long, e long, at int, least long, copies long, words binary"
-
-
-@task("anchors")
-def _suffixes(batches: Iterator[pa.RecordBatch], words: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        f, e, back, copies, least = (batch.column(k).to_numpy() for k in range(5))
-        x, owner, at = _windows(batch.column(6).to_pylist(), words)
-        if len(x):
-            flat = np.ascontiguousarray(x)
-            start = np.arange(len(x)) * words
-            key = Sums(flat.reshape(-1), BASE1).of(start, start + prefix).view(np.int64)
-            yield pa.record_batch([pa.array(key), pa.array(f[owner]), pa.array(e[owner]), pa.array((at - back[owner]).astype(np.int32)), pa.array(least[owner]), pa.array(copies[owner]), pa.array([r.tobytes() for r in flat], pa.binary())], names=["prefix", "f", "e", "at", "least", "copies", "words"])
-
-
-@task("anchors")
-def _prefixed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for group in runs(batches, 1):
-        x = np.frombuffer(b"".join(group.column(6).to_pylist()), np.uint64).reshape(-1, words)
-        low, many = repeats(x, np.zeros(len(x), np.int64), group.column(4).to_numpy())
-        keep = (many > 1) | (group.column(5).to_numpy() > 1)
-        yield pa.RecordBatch.from_arrays([group.column(1).combine_chunks().filter(pa.array(keep)), group.column(2).combine_chunks().filter(pa.array(keep)), group.column(3).combine_chunks().filter(pa.array(keep)), pa.array(low[keep])], names=["f", "e", "at", "least"])
-
-
-def resolver(words: int = WORDS, rivals: int = RIVALS):
-    """How ``spans`` finds repeated windows: subtrees for each core; a core with very many settings is split over
-    tasks by longer prefixes of its suffixes, at last the whole window, of which only the smallest id is needed."""
+        yield from _solve(pa.concat_tables(held), words)
 
-    def resolve(snippets: DataFrame) -> DataFrame:
-        few = snippets.where(F.col("rivals") <= rivals).repartition("f").sortWithinPartitions("f").mapInArrow(lambda it: _resolve(it, words), WINDOWS)
-        some = snippets.where((F.col("rivals") > rivals) & (F.col("rivals") <= rivals * rivals)).mapInArrow(lambda it: _suffixes(it, words, (words + 1) // 2), _SUFFIXES)
-        parted = some.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lambda it: _prefixed(it, words), "f long, e long, at int, least long")
-        many = snippets.where(F.col("rivals") > rivals * rivals).mapInArrow(lambda it: _suffixes(it, words, words), _SUFFIXES)
-        whole = many.join(many.groupBy("prefix").agg(F.min("least").alias("low")), "prefix").select("f", "e", "at", F.col("low").alias("least"))
-        listed = parted.unionByName(whole).groupBy("f", "e").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), "least")).alias("windows"))
-        return few.unionByName(listed)
 
-    return resolve
+def solver(words: int = WORDS) -> Solver:
+    """How ``spans`` finds repeated windows: subtrees of the suffixes around each core."""
+    return lambda snippets: snippets.repartition("f").sortWithinPartitions("f").mapInArrow(lambda it: _resolve(it, words), WINDOWS)
 
 
 @task("anchors")
@@ -217,4 +181,4 @@ def dedup_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     unit = Unit(words=True, size=words, reach=max(1, min(REACH, words - 3)))
     docs = keyed(df, id_col, text_col)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * keep_text
-    return docs.join(spans(docs, unit, resolver(words), earlier_only=True), ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, words, keep_text), schema)
+    return docs.join(spans(docs, unit, solver(words), RIVALS, earlier_only=True, lone=True), [*NAME], "left").select("id", "text", "spans").mapInArrow(lambda it: _apply(it, words, keep_text), schema)

@@ -9,6 +9,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from pagemill.llm import anchors, jaccard, suffixarray, suffixtree, vectors
 from pagemill.llm.common import components
 
@@ -33,7 +35,7 @@ def removed_bytes(rows, length):
 
 @pytest.mark.parametrize(("length", "rivals"), [(200, 1024), (40, 1024), (40, 1)])
 def test_bytes(docs, rows, length, rivals, monkeypatch):
-    monkeypatch.setattr(suffixarray, "resolver", lambda n, r=suffixarray.resolver: r(n, rivals))
+    monkeypatch.setattr(suffixarray, "RIVALS", rivals)
     got = Counter(tuple(r) for r in suffixarray.dedup_bytes(docs, length=length, keep_text=False).collect())
     assert got == removed_bytes(rows, length)
 
@@ -78,10 +80,38 @@ def removed_words(rows, size):
 
 @pytest.mark.parametrize("rivals", [2048, 2, 1])
 def test_words(docs, rows, rivals, monkeypatch):
-    monkeypatch.setattr(suffixtree, "resolver", lambda n, r=suffixtree.resolver: r(n, rivals))
+    monkeypatch.setattr(suffixtree, "RIVALS", rivals)
     assert Counter(tuple(r) for r in suffixtree.dedup_words(docs, keep_text=False).collect()) == removed_words(rows, 13)
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Hundreds of rows without an id or with one of two ids, all of different texts, half of them with passages of others."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{k}w{rng.randrange(5000)}" for _ in range(40)) for k in range(5)]
+    rows = []
+    for k in range(600):
+        own = " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))
+        rows.append(((None, None, 7, 8)[k % 4], own if k % 2 else f"{own} {passages[k % 5]} x{k}"))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+
+def test_rows_that_share_ids_keep_what_is_theirs(shared_ids):
+    rows, df = shared_ids
+    assert Counter(tuple(r) for r in suffixarray.dedup_bytes(df, keep_text=False).collect()) == removed_bytes(rows, 200)
+    assert Counter(tuple(r) for r in suffixtree.dedup_words(df, keep_text=False).collect()) == removed_words(rows, 13)
+    kept = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in suffixarray.without_repeats(df).collect())
+    assert kept == Counter((i, h) for (i, _, _, _, h), n in removed_bytes(rows, 200).items() for _ in range(n))
+
+
+def test_names_need_both_halves_of_a_text_s_hash(shared_ids, monkeypatch):
+    rows, df = shared_ids
+    whole = anchors.tags
+    for half in (0, 1):
+        monkeypatch.setattr(anchors, "tags", lambda text, half=half: [F.lit(0).cast("long").alias(c) if k == half else x for k, (c, x) in enumerate(zip(("t1", "t2"), whole(text), strict=True))])
+        assert Counter(tuple(r) for r in suffixarray.dedup_bytes(df, keep_text=False).collect()) == removed_bytes(rows, 200)
+
+
 @pytest.mark.parametrize(("memory", "read"), [(40_000, 400_000), (3, 1), (50, 64)])
 def test_subtrees_find_what_a_dictionary_finds(memory, read, monkeypatch):
     monkeypatch.setattr(suffixtree, "READ", read)
@@ -171,7 +201,8 @@ def test_prefixes_of_linked_sets_meet():
     assert jaccard.prefix_size(10, Fraction(9, 10)) == 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_components(spark, bound):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500, 500)] + [(k, k + 1) for k in range(1000, 1060)]
     up = {x: x for e in edges for x in e}
@@ -184,7 +215,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), bound=bound).collect()}
     assert got == {x: find(x) for x in up}
 
 
