@@ -73,3 +73,9 @@ def doctor(profiles: DataFrame, models: DataFrame, vram: str = "primary_vram_gb"
     both = profiles.crossJoin(F.broadcast(models.select("ordinal", F.col("id").alias("model_id"))))
     rule = suitability(F.col("model_id"), F.col(vram), F.col(cuda))
     return both.select(*profiles.columns, "ordinal", "model_id", rule.getField("level").alias("level"), rule.getField("note").alias("note"))
+
+
+def dependencies(required: DataFrame, present: DataFrame, name: str = "name") -> DataFrame:
+    """Required packages that are there (semi join) and that are missing (anti join)."""
+    have = required.join(present, name, "left_semi").withColumn("installed", F.lit(True))
+    return have.unionByName(required.join(present, name, "left_anti").withColumn("installed", F.lit(False)))

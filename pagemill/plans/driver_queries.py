@@ -171,8 +171,10 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.chat_message(F.col("role"), image, F.col("text")).cast("string").alias("message"))
 
 
-_MODELS = "(VALUES " + ", ".join(f"({k}, '{m[0]}', '{m[1]}')" for k, m in enumerate(catalog.MODELS)) + ") AS m(ordinal, id, display_name)"
-_PROMPT_CASE = "CASE id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.MODEL_PROMPTS.items()) + " END"
+# The same catalog, prompts, rules and routes as the code's, written out once more, so that a wrong one shows.
+_MODELS = "(VALUES (0, 'glm-ocr', 'GLM OCR'), (1, 'lighton-ocr', 'LightOnOCR'), (2, 'hunyuan-ocr', 'HunyuanOCR'), (3, 'smolvlm', 'SmolVLM-256M')) AS m(ordinal, id, display_name)"
+_PROMPT_CASE = """CASE id WHEN 'glm-ocr' THEN 'Text Recognition:' WHEN 'smolvlm' THEN 'Extract all text from this image:' WHEN 'lighton-ocr' THEN ''
+ WHEN 'hunyuan-ocr' THEN '提取文档图片中正文的所有信息用markdown格式表示，其中页眉、页脚部分忽略，表格用html格式表达，文档中公式用latex格式表示，按照阅读顺序组织进行解析。' END"""
 _ASKED = "CASE turn % 3 WHEN 0 THEN '  ' WHEN 1 THEN text END"
 
 
@@ -184,9 +186,11 @@ def prompt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT conv_id, turn, task, CASE task "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" + (" || CASE WHEN coalesce(s, '') <> '' THEN chr(10) || 'Follow this exact JSON schema format:' || chr(10) || s ELSE '' END" if k == "json" else "") for k, v in prompts.TASK_PROMPTS.items())
-    + f" ELSE '{prompts.DEFAULT_PROMPT}' END AS prompt FROM (SELECT conv_id, turn, ['table', 'formula', 'json', 'text'][(turn + conv_id) % 4 + 1] AS task, CASE WHEN turn % 2 = 1 THEN text END AS s FROM conversations)"
+    """SELECT conv_id, turn, task, CASE task WHEN 'table' THEN 'Extract all table contents and output as formatted Markdown:'
+ WHEN 'formula' THEN 'Extract mathematical formulas from this image into LaTeX syntax:'
+ WHEN 'json' THEN 'Extract all key information from this document into a clean, structured JSON object:' || CASE WHEN coalesce(s, '') <> '' THEN chr(10) || 'Follow this exact JSON schema format:' || chr(10) || s ELSE '' END
+ ELSE 'Text Recognition:' END AS prompt
+FROM (SELECT conv_id, turn, ['table', 'formula', 'json', 'text'][(turn + conv_id) % 4 + 1] AS task, CASE WHEN turn % 2 = 1 THEN text END AS s FROM conversations)"""
 )
 def prompt_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.element_at(F.array(*[F.lit(x) for x in ("table", "formula", "json", "text")]), ((F.col("turn") + F.col("conv_id")) % 4 + 1).cast("int"))
@@ -424,11 +428,12 @@ def export_txt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- catalog, doctor, probes
 
 
-def _quoted(x: object) -> str:
-    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).upper() if isinstance(x, bool) else f"{x}::DOUBLE"
-
-
-_CATALOG = "(VALUES " + ", ".join(f"({k}, {', '.join(_quoted('|'.join(v) if isinstance(v, list) else v) for v in m)})" for k, m in enumerate(catalog.MODELS)) + ") AS c(ordinal, id, display_name, category, parameters, use_cases, min_vram_gb, min_recommendation, cpu_supported, is_default, hf_repo_id, description, download_size_gb)"
+_CATALOG = """(VALUES
+ (0, 'glm-ocr', 'GLM OCR', 'OCR', '0.9B', 'General OCR|Invoices|Books|Research Papers|Forms|Tables|Formula Recognition|Markdown Export', 6.0::DOUBLE, '6 GB VRAM', true, true, 'zai-org/GLM-OCR', 'The default engine: accurate text from invoices, papers, tables and formulas.', 1.8::DOUBLE),
+ (1, 'lighton-ocr', 'LightOnOCR', 'OCR', '1B', 'Scientific Documents|Academic Papers|Multilingual OCR|PDF Parsing', 8.0, '8 GB VRAM', true, false, 'lightonai/LightOnOCR-2-1B', 'For scientific and multilingual documents and PDF parsing.', 2.0),
+ (2, 'hunyuan-ocr', 'HunyuanOCR', 'OCR', '~1B', 'Enterprise Documents|Charts|Tables|Complex Layouts|Information Extraction', 8.0, '8 GB VRAM', true, false, 'tencent/HunyuanOCR', 'For complex layouts, charts and information extraction.', 2.0),
+ (3, 'smolvlm', 'SmolVLM-256M', 'Vision Language Model', '256M', 'Low End GPU|Laptop|Edge Device|Jetson|Offline OCR', 2.0, '2 GB VRAM', true, false, 'HuggingFaceTB/SmolVLM-256M-Instruct', 'A compact model for edge devices and offline use.', 0.5))
+ AS c(ordinal, id, display_name, category, parameters, use_cases, min_vram_gb, min_recommendation, cpu_supported, is_default, hf_repo_id, description, download_size_gb)"""
 
 
 @query(f"SELECT * FROM {_CATALOG}")
@@ -449,14 +454,14 @@ def catalog_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALIASES = ("glm-ocr", "GLM OCR", "GLM-OCR", "glm_ocr", "LightOnOCR", "lighton-ocr", "HUNYUAN ocr", "SmolVLM-256M", "smolvlm", "gpt-vision", "")
 _SQL_ALIAS = "[" + ", ".join(f"'{a}'" for a in _ALIASES) + f"][(doc_id % {len(_ALIASES)}) + 1]"
-_SUPPORTED_IDS = ", ".join(m[0] for m in catalog.MODELS)
+_SUPPORTED_IDS = "glm-ocr, lighton-ocr, hunyuan-ocr, smolvlm"
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*[F.lit(a) for a in _ALIASES]), (F.col("doc_id") % len(_ALIASES) + 1).cast("int")).alias("name"))
 
 
-@query(f"SELECT doc_id, {_SQL_ALIAS} AS name, {_SQL_ALIAS} IN ({', '.join(repr(m[0]) for m in catalog.MODELS)}) AS registered FROM documents")
+@query(f"SELECT doc_id, {_SQL_ALIAS} AS name, {_SQL_ALIAS} IN ('glm-ocr', 'lighton-ocr', 'hunyuan-ocr', 'smolvlm') AS registered FROM documents")
 def catalog_is_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aliases(spark, sf_dir).select("doc_id", "name", F.col("name").isin(*[m[0] for m in catalog.MODELS]).alias("registered"))
 
@@ -482,34 +487,26 @@ def disk_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.documents(spark, sf_dir).groupBy("source").agg(size.alias("bytes"), F.round(text.gigabytes(size), 3).alias("gb"))
 
 
-def _sql_doctor() -> str:
-    level, note = [], []
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    for model, (tiers, without) in rules.TIERS.items():
-        for k, out in ((0, level), (1, note)):
-            out.append(f"WHEN id = '{model}' AND NOT cuda THEN {q(without[k])}")
-            out += [f"WHEN id = '{model}'" + ("" if least is None else f" AND vram {'>' if above else '>='} {least}") + f" THEN {q((lv, nt)[k])}" for least, above, lv, nt in tiers]
-    return f"SELECT p_partkey, id AS model_id, CASE {' '.join(level)} END AS level, CASE {' '.join(note)} END AS note FROM (SELECT p_partkey, p_size / 4.0::DOUBLE AS vram, p_partkey % 3 > 0 AS cuda FROM part), {_MODELS}"
+_DOCTOR = """SELECT p_partkey, id AS model_id, split_part(r, '|', 1) AS level, split_part(r, '|', 2) AS note FROM (SELECT p_partkey, id, CASE id
+ WHEN 'smolvlm' THEN CASE WHEN NOT cuda THEN 'Excellent|Excellent on CPU — designed for edge devices.' WHEN vram >= 2 THEN 'Excellent|' WHEN vram > 0 THEN 'Supported|Very low VRAM — CPU mode recommended.' ELSE 'Excellent|Excellent on CPU — designed for edge devices.' END
+ WHEN 'glm-ocr' THEN CASE WHEN NOT cuda THEN 'Supported|Running on CPU — expect significantly slower performance.' WHEN vram >= 6 THEN 'Excellent|' WHEN vram >= 4 THEN 'Supported|Below recommended 6 GB VRAM. Large PDFs may be slower.'
+  WHEN vram >= 2 THEN 'Supported|Low VRAM detected. Use smaller batch sizes.' ELSE 'Not Recommended|Insufficient VRAM. Use smolvlm instead.' END
+ WHEN 'lighton-ocr' THEN CASE WHEN NOT cuda THEN 'Supported|Runs on CPU — significantly slower for large documents.' WHEN vram >= 8 THEN 'Excellent|' WHEN vram >= 6 THEN 'Supported|Below recommended 8 GB VRAM. May require lower batch size.' ELSE 'Not Recommended|Requires 8 GB VRAM for reliable performance.' END
+ ELSE CASE WHEN NOT cuda THEN 'Not Recommended|Requires GPU. CPU mode is not practical for this model.' WHEN vram >= 8 THEN 'Excellent|' WHEN vram >= 6 THEN 'Supported|Below recommended 8 GB VRAM. Reduce batch size.' ELSE 'Not Recommended|Requires more GPU memory (8 GB minimum recommended).' END
+ END AS r FROM (SELECT p_partkey, p_size / 4.0::DOUBLE AS vram, p_partkey % 3 > 0 AS cuda FROM part), """ + f"{_MODELS})"
 
 
-@query(_sql_doctor())
+@query(_DOCTOR)
 def doctor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     machines = S.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / F.lit(4.0)).alias("primary_vram_gb"), (F.col("p_partkey") % 3 > 0).alias("cuda_available"))
     return catalog.doctor(machines, catalog.catalog(spark)).select("p_partkey", "model_id", "level", "note")
 
 
-# Packages that the service needs, and the ones that the stand-in machine has.
-REQUIRED = ("torch", "torchvision", "transformers", "PIL", "pypdfium2", "fastapi", "uvicorn", "requests")
-PRESENT = ("requests", "PIL", "numpy")
-
-
-@query(f"SELECT name, name IN ({', '.join(map(repr, PRESENT))}) AS installed FROM (VALUES {', '.join(f'({x!r})' for x in REQUIRED)}) AS r(name)")
+@query("SELECT DISTINCT p_brand AS name, p_brand IN (SELECT p_brand FROM part WHERE p_size > 47) AS installed FROM part")
 def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required packages that are there (semi join) and that are missing (anti join)."""
-    required = spark.createDataFrame([(x,) for x in REQUIRED], "name string")
-    present = spark.createDataFrame([(x,) for x in PRESENT], "name string")
-    have = required.join(F.broadcast(present), "name", "left_semi").withColumn("installed", F.lit(True))
-    return have.unionByName(required.join(F.broadcast(present), "name", "left_anti").withColumn("installed", F.lit(False)))
+    """Required packages (brands) that are there (on a large part) and that are missing; of this machine, see hardware.missing_packages."""
+    parts = S.table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), "p_size")
+    return catalog.dependencies(parts.select("name").distinct(), parts.where("p_size > 47").select("name").distinct())
 
 
 _GPU = "(p_partkey % 4) || ', ' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ', ' || CASE WHEN p_partkey % 5 = 0 THEN 'N/A' ELSE CAST(p_size * 512 AS VARCHAR) END || ',' || (p_size * 256) END"
@@ -618,7 +615,8 @@ def rest_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TARGETS = ("/", "", "/api/status", "/api/tasks/", "/api/logs?n=5", "/api/stream", "/nope", "/api/pause", "/api/resume/", "/api/cancel", "/api/retry-failed", "/api/reconfigure?x")
-_ROUTE_CASE = "CASE " + " ".join(f"WHEN method = '{m}' AND p = '{r}' THEN '{h}'" for (m, r), h in requests.ROUTES.items()) + " ELSE 'not_found' END"
+_ROUTE_CASE = """CASE WHEN method = 'GET' THEN CASE p WHEN '' THEN 'page' WHEN '/api/status' THEN 'status' WHEN '/api/tasks' THEN 'tasks' WHEN '/api/logs' THEN 'logs' WHEN '/api/stream' THEN 'stream' ELSE 'not_found' END
+ ELSE CASE p WHEN '/api/pause' THEN 'pause' WHEN '/api/resume' THEN 'resume' WHEN '/api/cancel' THEN 'cancel' WHEN '/api/retry-failed' THEN 'retry-failed' WHEN '/api/reconfigure' THEN 'reconfigure' ELSE 'not_found' END END"""
 
 
 @query(
