@@ -10,50 +10,61 @@ from pagemill.llm.common import small_batches, table
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 200-byte string starting elsewhere covers, removed; null texts are empty, short ones stay
+    whole, equal rows lose what they share."""
     small_batches(spark)
     return suffixarray.dedup_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as 8-bit sound in Matroska and read back; null texts are empty, equal texts give equal values."""
     small_batches(spark)
     return media.store_text(table(spark, sf_dir, "documents", "doc_id", "text"), keep_media=False)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by a network trained outside the held-out fold; ``und`` where there are no letters."""
     small_batches(spark)
     return language.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document by three-word shingles at 0.9; texts without words link with nothing."""
     small_batches(spark)
     return jaccard.jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text; null texts have none, special strings are one token each."""
     small_batches(spark)
     return tokencount.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95; null, zero and broken vectors link with nothing."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of every document's pieces in sequences of 2048 tokens; a null text is the end id alone."""
     small_batches(spark)
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html gives the empty text."""
     small_batches(spark)
     return extract.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text as digests; null texts have none."""
     small_batches(spark)
     return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a 13-word window of a smaller id covers, removed; null texts have none."""
     small_batches(spark)
     return suffixtree.dedup_words(table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
 

@@ -36,6 +36,35 @@ def test_fixed_lacing_and_unknown_sizes():
     assert M.samples(data, m) == b"abcdefghi" * 2
 
 
+#: A file written by hand, byte by byte, from the format's description; not by this package's writer.
+FOREIGN = bytes.fromhex(
+    "1A45DFA3 9F  42868101 42F78101 42F28104 42F38108 4282 84 7765626D 42878104 42858102"  # header, document type webm
+    "18538067 01FFFFFFFFFFFFFF"  # segment of unknown size
+    "1549A966 87  2AD7B1 83 0F4240"  # a millisecond a tick
+    "1654AE6B 9B  AE 99  D78107 73C58109 838102 86 8D 415F50434D2F494E542F4C4954"  # track 7, A_PCM/INT/LIT
+    "1F43B675 B0  E78164"  # cluster at 100 ms
+    "A3 89  87 0005 80 68656C6C6F"  # +5 ms, key frame, no lacing: hello
+    "A0 95  A1 90 87 FFFE 06 02 83 C0 616263 64656667 6869  FB81FE"  # -2 ms, EBML lacing of 3, 3 + 1 and what is left; refers to another
+    "A3 89  87 000A 02 01 02 7879 7A"  # +10 ms, Xiph lacing of 2 and what is left
+    "1C53BB6B 8D  BB 8B  B38164 B7 86 F78107 F1812C"  # a cue to the cluster, 44 bytes into the segment
+)
+
+
+def test_a_foreign_file():
+    m = M.parse(FOREIGN)
+    assert m.doc_type == "webm" and m.scale == 1_000_000 and list(m.tracks) == [7]
+    assert [FOREIGN[a : a + n] for a, n in zip(m.start, m.size, strict=True)] == [b"hello", b"abc", b"defg", b"hi", b"xy", b"z"]
+    assert m.timestamp_ns == [105_000_000, 98_000_000, 98_000_000, 98_000_000, 110_000_000, 110_000_000]
+    assert m.keyframe == [True, False, False, False, False, False] and m.lacing == [0, 3, 3, 3, 1, 1] and set(m.track) == {7}
+    cluster = FOREIGN.index(bytes.fromhex("1F43B675"))
+    assert m.clusters == [(cluster + 5, cluster + 53)] and m.cues == [(100_000_000, 7, cluster)]
+
+
+def test_a_foreign_file_as_packets(spark):
+    rows = M.packet_table(spark.createDataFrame([(1, bytearray(FOREIGN))], "doc_id long, media binary")).orderBy("start").collect()
+    assert [(r.track, r.timestamp_ns, r.size) for r in rows] == [(7, 105_000_000, 5), (7, 98_000_000, 3), (7, 98_000_000, 4), (7, 98_000_000, 2), (7, 110_000_000, 2), (7, 110_000_000, 1)]
+
+
 @given(st.binary(max_size=120_000))
 @settings(max_examples=30, deadline=None)
 def test_payload_round_trip(raw):
