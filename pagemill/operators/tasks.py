@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import file_name, json_text, preview
 from pagemill.schema import COMPLETED, FAILED, PENDING, PROCESSING, QUEUED, JobOptions
+from pagemill.sources.kinds import order_range
 
 
 def latest_status(events: DataFrame, task: str, status: str, *order: str) -> DataFrame:
@@ -98,18 +99,19 @@ def used_percent(used: Column, total: Column) -> Column:
     return F.round(F.when(total > 0, used / total * 100).otherwise(F.lit(0.0)), 1)
 
 
-def prefix_totals(df: DataFrame, bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+def prefix_totals(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
     """Running totals in a global order without gathering it in one task.
 
-    ``bucket`` is a coarse key that ascends with ``order``: running sums inside each bucket, plus the total of the
-    earlier buckets, which is a window over one small row per bucket.
+    Running sums inside ranges of the order, about equally full ones, plus the total of the earlier ranges, which is
+    a window over one small row a range.
     """
-    inside = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(bucket).agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
-    before = totals.select(bucket, *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in values])
-    rows = df.withColumns({k: F.sum(v).over(inside) for k, v in values.items()}).join(before, bucket)
-    return rows.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop(*[f"_{k}" for k in values])
+    ranged = df.withColumn("_range", order_range(df, *order))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_{k}") for k, v in values.items()])
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in values])
+    rows = ranged.withColumns({k: F.sum(v).over(inside) for k, v in values.items()}).join(before, "_range")
+    return rows.withColumns({k: F.col(k) + F.col(f"_{k}") for k in values}).drop("_range", *[f"_{k}" for k in values])
 
 
 def last_writer(df: DataFrame, name: str, *order: Column) -> DataFrame:

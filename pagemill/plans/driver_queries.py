@@ -316,9 +316,9 @@ FROM (SELECT event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
  FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
 )
 def running_speed_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = S.events(spark, sf_dir).select("event_id", "ts", "status", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"))
+    log = S.events(spark, sf_dir).select("event_id", "ts", "status")
     one = lambda s: F.when(F.col("status") == s, 1).otherwise(0).cast("long")
-    running = tasks.prefix_totals(log, "day", ["ts", "event_id"], {"processed": one("COMPLETED"), "failed": one("FAILED")})
+    running = tasks.prefix_totals(log, ["ts", "event_id"], {"processed": one("COMPLETED"), "failed": one("FAILED")})
     total = F.broadcast(log.agg(F.count("*").alias("n")))
     eta = (F.col("n") - F.col("processed") - F.col("failed")) / (F.col("processed") / (F.lit(1.0) + F.col("event_id")))
     return running.crossJoin(total).select("event_id", "processed", "failed", F.when(F.col("processed") > 0, eta).otherwise(F.lit(0.0)).alias("eta_sec"))

@@ -1,7 +1,8 @@
 """File discovery and reading.
 
-Listing goes through Hadoop's file systems, so any store that Spark reads can be listed, and, unlike Spark's own
-file sources, names that begin with ``_`` or ``.`` are found and a missing path is only a warning.
+Tasks list and read through pyarrow's file systems; stores that it doesn't know are listed through Hadoop's, on the
+driver. Unlike with Spark's own file sources, names that begin with ``_`` or ``.`` are found and a missing path is
+only a warning.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pagemill.sources.content import URL, fetch
 from pagemill.sources.kinds import SUPPORTED, supported
 
 logger = logging.getLogger(__name__)
@@ -42,27 +44,91 @@ def _plain(path) -> str:
     return uri.getPath() if (uri.getScheme() or "file") == "file" else path.toString()
 
 
+def _store(path: str):
+    """The pyarrow file system of a path, the path inside it, and what precedes that in the path."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    store, inner = fs.FileSystem.from_uri(path)
+    return store, inner, "" if path.startswith("file:") else path[: path.index(inner)] if inner in path else f"{path.split('://')[0]}://"
+
+
+def _below(batches: Iterator[pa.RecordBatch], recursive: bool) -> Iterator[pa.RecordBatch]:
+    """(path, length, folder) of what is in each folder, or at any depth below it; a file stands for itself."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, inner, head = _store(path)
+            info = store.get_file_info(inner)
+            if info.type == fs.FileType.Directory:
+                found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True, recursive=recursive))
+            else:
+                found = [info]
+            for k in range(0, len(found), 10_000):
+                own = [x for x in found[k : k + 10_000] if x.type in (fs.FileType.File, fs.FileType.Directory)]
+                names = [f"{head}{x.path}" for x in own]
+                yield pa.record_batch([pa.array(names, pa.string()), pa.array([x.size or 0 for x in own], pa.int64()), pa.array([x.type == fs.FileType.Directory for x in own], pa.bool_())], names=["path", "length", "folder"])
+
+
+def _readable(source: str) -> bool:
+    """Whether pyarrow, which tasks list with, opens the source's store."""
+    try:
+        _store(source)
+    except (ValueError, OSError, NotImplementedError):
+        return False
+    return True
+
+
 def discover(spark: SparkSession, sources: str | list[str], recursive: bool = True) -> DataFrame:
-    """(path, length) of the supported files of one source or several, each once, in component order."""
-    rows = [r for s in ([sources] if isinstance(sources, str) else sources) for r in listing(spark, s, recursive)]
-    found = spark.createDataFrame(rows, LISTED).where(supported(F.col("path")))
-    return found.dropDuplicates(["path"]).orderBy(F.split("path", "/"))
+    """(path, length) of the supported files of one source or several, each once, in component order.
+
+    Tasks do the listing: one for each source's own folder, then one for each folder in it, whose whole tree it
+    lists. Sources of stores that tasks can't open are listed by the driver. A source that doesn't exist is a warning.
+    """
+    names = [sources] if isinstance(sources, str) else list(sources)
+    near = [s for s in names if _readable(s)]
+    rows = [r for s in names if s not in near for r in listing(spark, s, recursive)]
+    found = spark.createDataFrame(rows, LISTED)
+    near = [_plain(p) for s in near if (p := _existing(spark, s)) is not None]
+    if near:
+        kind = f"{LISTED}, folder boolean"
+        top = spark.createDataFrame([(s,) for s in near], "path string").repartition(len(near), "path").mapInArrow(lambda it: _below(it, False), kind)
+        found = found.unionByName(top.where("NOT folder").drop("folder"))
+        if recursive:
+            # folders are dealt out by name, so that large ones meet by chance alone
+            deep = top.where("folder").select("path").repartition("path").mapInArrow(lambda it: _below(it, True), kind)
+            found = found.unionByName(deep.where("NOT folder").drop("folder"))
+    return found.where(supported(F.col("path"))).dropDuplicates(["path"]).orderBy(F.split("path", "/"))
+
+
+def _existing(spark: SparkSession, source: str):
+    """The qualified path of a source, or None with a warning."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        logger.warning("Skipping missing source: %s", source)
+        return None
+    return path.makeQualified(store.getUri(), store.getWorkingDirectory())
 
 
 def read_content(df: DataFrame, path: str = "path") -> DataFrame:
-    """``df`` with content and error columns; files are read by the tasks, one at a time. Paths need a store that pyarrow opens."""
+    """``df`` with content and error columns; files are read, and URLs fetched, by the tasks, one at a time. Paths need a store that pyarrow opens."""
     at, names = df.columns.index(path), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for k in range(batch.num_rows):
                 row, content, error = batch.slice(k, 1), None, None
                 try:
-                    store, inner = fs.FileSystem.from_uri(p) if "://" in (p := batch.column(at)[k].as_py()) else (fs.LocalFileSystem(), p)
-                    with store.open_input_stream(inner) as f:
-                        content = f.read()
+                    name = batch.column(at)[k].as_py()
+                    if URL.match(name):
+                        content = fetch(name)
+                    else:
+                        store, inner, _ = _store(name)
+                        with store.open_input_stream(inner) as f:
+                            content = f.read()
                 except OSError as e:
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())], names=[*names, "content", "error"])

@@ -27,7 +27,7 @@ from pagemill.operators.prompts import TASK_PROMPTS
 from pagemill.operators.recognise import EchoRecogniser, Recogniser
 from pagemill.operators.tasks import job_metrics
 from pagemill.schema import METRICS, JobOptions
-from pagemill.sources import content
+from pagemill.sources import content, files
 
 
 class Recording(Recogniser):
@@ -378,3 +378,17 @@ def test_probes_are_asked_in_order():
     assert hardware.find_gpus((probe("a", None), probe("b", [{"name": "B"}]), probe("c", [{"name": "C"}]))) == [{"name": "B"}] and asked == ["a", "b"]
     assert hardware.find_gpus((probe("a", None),)) == [] and hardware.missing_packages(("json", "no_such_package_here")) == ["no_such_package_here"]
     assert set(hardware.gauges()) == {"cpu_percent", "ram_used_gb", "ram_total_gb", "vram_used_gb", "vram_total_gb", "gpu_name"}
+
+
+def test_listing_and_reading_in_tasks(spark, tmp_path, site):
+    (tmp_path / "x" / "y" / "_z").mkdir(parents=True)
+    for name in ("a.png", ".b.PNG", "x/c.pdf", "x/y/d.jpg", "x/y/_z/.e.tif", "x/no.txt"):
+        (tmp_path / name).write_bytes(b"12")
+    every = files.discover(spark, [str(tmp_path), str(tmp_path / "a.png"), str(tmp_path / "missing")])
+    assert [(r.path.removeprefix(f"{tmp_path}/"), r.length) for r in every.collect()] == [(n, 2) for n in (".b.PNG", "a.png", "x/c.pdf", "x/y/_z/.e.tif", "x/y/d.jpg")]
+    assert files.discover(spark, str(tmp_path), recursive=False).count() == 2
+    assert files.discover(spark, f"file://{tmp_path}/x").count() == 3
+    assert files.discover(spark, str(tmp_path / "missing")).count() == 0
+    paths = spark.createDataFrame([(f"{site}/page.png",), (f"{site}/none.png",), (str(tmp_path / "a.png"),), (str(tmp_path / "gone.png"),)], "path string")
+    got = {r.path: r for r in files.read_content(paths).collect()}
+    assert bytes(got[f"{site}/page.png"].content) == b"image" and got[f"{site}/none.png"].error and bytes(got[str(tmp_path / "a.png")].content) == b"12" and got[str(tmp_path / "gone.png")].error

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pagemill.cli import suitability
 from pagemill.functions import rules, text
 from pagemill.operators import pages, recognise, tasks
+from pagemill.sources import kinds
 
 
 def values(spark, column, rows, schema="x string"):
@@ -86,8 +87,17 @@ def test_retry_rule_equals_the_loop(spark):
 
 def test_running_totals_match_a_window(spark):
     df = spark.range(1000).select("id", (F.col("id") / 100).cast("int").alias("b"), (F.col("id") % 3).alias("v"))
-    got = {r.id: r.s for r in tasks.prefix_totals(df, "b", ["id"], {"s": F.col("v")}).collect()}
+    got = {r.id: r.s for r in tasks.prefix_totals(df, ["id"], {"s": F.col("v")}).collect()}
     total = 0
     for k in range(1000):
         total += k % 3
         assert got[k] == total
+
+
+def test_ranges_are_balanced_whatever_the_folders(spark):
+    paths = spark.range(5000).selectExpr("concat('/one/flat/folder/document-', lpad(CAST(id * 7919 % 5000 AS STRING), 6, '0'), '.png') AS path")
+    parted = paths.withColumn("parts", F.split("path", "/"))
+    sizes = [r.n for r in parted.groupBy(kinds.order_range(parted, "parts")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == kinds.RANGES and max(sizes) < 5 * 5000 / kinds.RANGES
+    got = {r.path: r.ordinal for r in kinds.numbered(paths).collect()}
+    assert [got[p] for p in sorted(got)] == list(range(1, 5001))
