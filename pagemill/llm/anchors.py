@@ -305,10 +305,16 @@ def _repeated(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Re
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> DataFrame:
-    """id (a null one as the least long), text, t1, t2, and the named columns beside them as one struct ``row``, so that no names clash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """id (a null one as the least long), text, t1, t2, and the named columns beside them as one struct ``row``, so that no names clash.
+
+    An id that no two rows have names a row alone. Only if any id repeats, null ones included, do t1 and t2 hold 128
+    bits of the text; else they are zeros, which cost nothing in shuffles and tables.
+    """
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit(""))
+    alone = df.select(key.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    names = [F.lit(0).cast("long").alias(c) for c in NAME[1:]] if alone else tags(text)
     rest = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")] if columns is not None else []
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), *tags(text), *rest)
+    return df.select(key.alias("id"), text.alias("text"), *names, *rest)
 
 
 def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
@@ -327,6 +333,7 @@ def occurrences(docs: DataFrame, unit: Unit, across: bool) -> DataFrame:
 _CLASS = ("f", "e", "back", "copies", "least", "rivals")
 SNIPPETS = "f long, e long, back int, copies long, least long, rivals long, units binary"
 WINDOWS = "f long, e long, windows array<struct<first:int,last:int,least:long>>"
+_RANGE = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())])
 
 
 @task("anchors")
@@ -353,18 +360,48 @@ _LONGER = "f long, e long, back int, copies long, least long, units binary, f0 l
 
 @task("anchors")
 def _longer(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.RecordBatch]:
-    """The snippets' windows under the longer cores of ``unit``, with their first core and setting and their place beside it."""
+    """The snippets' windows under the longer cores of ``unit``, with their first core and setting and their place beside it.
+
+    Snippets of one core have most longer cores in common: units come with the first row of a core and setting in a
+    step alone, and are null in the others.
+    """
+    names = ["f", "e", "back", "copies", "least", "units", "f0", "e0", "at"]
     for batch in batches:
-        for k in range(0, batch.num_rows, 512):
-            part = batch.slice(k, 512)
+        for k in range(0, batch.num_rows, 4096):
+            part = batch.slice(k, 4096)
             raw, offsets = binary(part.column(6))
             units, bounds = (raw.view(np.uint64), offsets // 8) if unit.words else (raw, offsets)
             text, p, low, high, f, e = find_anchors(units if unit.words else _BYTES[units], bounds, unit)
+            f, e = f & HASH, e & HASH
+            order = np.lexsort((e, f))
+            new = np.ones(len(f), bool)
+            new[1:] = (f[order][1:] != f[order][:-1]) | (e[order][1:] != e[order][:-1])
+            head = set(order[new].tolist())
+            cut = [units[a:b].tobytes() if j in head else None for j, (a, b) in enumerate(zip(low.tolist(), (high + unit.size).tolist(), strict=True))]
             f0, e0, back, copies, least = (part.column(c).to_numpy()[text] for c in range(5))
-            cut = [units[a:b].tobytes() for a, b in zip(low.tolist(), (high + unit.size).tolist(), strict=True)]
             at = (p - bounds[text] - back).astype(np.int32)
-            cols = [(f & HASH).view(np.int64), (e & HASH).view(np.int64), (p - low).astype(np.int32), copies, least]
-            yield pa.record_batch([*map(pa.array, cols), pa.array(cut, pa.binary()), *map(pa.array, (f0, e0, at))], names=["f", "e", "back", "copies", "least", "units", "f0", "e0", "at"])
+            cols = [*map(pa.array, (f.view(np.int64), e.view(np.int64), (p - low).astype(np.int32), copies, least)), pa.array(cut, pa.binary()), *map(pa.array, (f0, e0, at))]
+            for j in range(0, len(f), 20_000):
+                yield pa.RecordBatch.from_arrays([c.slice(j, 20_000) for c in cols], names=names)
+
+
+@task("anchors")
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(f, e, windows) with windows that follow each other and have one smallest id as one range."""
+    for batch in batches:
+        column = batch.column(2)
+        flat, outer = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+        first, last, least = (flat.field(c).to_numpy() for c in ("first", "last", "least"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(outer))
+        order = np.lexsort((first, least, row))
+        row, first, last, least = row[order], first[order], last[order], least[order]
+        head = np.ones(len(row), bool)
+        head[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1]) | (first[1:] > last[:-1] + 1)
+        at = np.flatnonzero(head)
+        ends = np.maximum.reduceat(last, at) if len(at) else last
+        offsets = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(first[at]), pa.array(ends), pa.array(least[at])], fields=list(_RANGE))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["f", "e", "windows"])
 
 
 def _rivals(classes: DataFrame) -> tuple[DataFrame, int]:
@@ -386,15 +423,16 @@ def resolve(snippets: DataFrame, most: int, unit: Unit, solve: Solver, limit: in
     if most <= limit or unit.reach == 1:
         return solve(snippets)
     snippets = materialise(snippets, "snippets")
-    longer = replace(unit, reach=max(1, unit.reach // 3))
-    parted = materialise(snippets.where(F.col("rivals") > limit).mapInArrow(lambda it: _longer(it, longer), _LONGER), "longer")
-    classes = parted.groupBy("f", "e").agg(F.first("back").alias("back"), F.sum("copies").alias("copies"), F.min("least").alias("least"), F.first("units").alias("units"))
+    longer = replace(unit, reach=max(1, unit.reach // 8))
+    hot = snippets.where(F.col("rivals") > limit).sortWithinPartitions("f")
+    parted = materialise(hot.mapInArrow(lambda it: _longer(it, longer), _LONGER), "longer")
+    classes = parted.groupBy("f", "e").agg(F.first("back").alias("back"), F.sum("copies").alias("copies"), F.min("least").alias("least"), F.first("units", ignorenulls=True).alias("units"))
     classes, again = _rivals(materialise(classes, "longer-classes"))
-    told = resolve(classes.select(*_CLASS, "units"), again, longer, solve, limit)
+    told = materialise(resolve(classes.select(*_CLASS, "units"), again, longer, solve, limit), "longer-windows")
     shifted = F.transform("windows", lambda w: F.struct((w["first"] + F.col("at")).alias("first"), (w["last"] + F.col("at")).alias("last"), w["least"].alias("least")))
     back = parted.select("f", "e", "f0", "e0", "at").join(told, ["f", "e"]).select(F.col("f0").alias("f"), F.col("e0").alias("e"), shifted.alias("windows"))
     # the windows of one snippet: no more than the first core's reach
-    back = back.groupBy("f", "e").agg(F.flatten(F.collect_list("windows")).alias("windows"))
+    back = back.groupBy("f", "e").agg(F.flatten(F.collect_list("windows")).alias("windows")).mapInArrow(_ranged, WINDOWS)
     return solve(snippets.where(F.col("rivals") <= limit)).unionByName(back)
 
 

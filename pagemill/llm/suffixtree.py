@@ -122,9 +122,13 @@ def _solve(t: pa.Table, words: int) -> Iterator[pa.RecordBatch]:
     told = np.flatnonzero((many > 1) | (copies[owner] > 1))
     if len(told):
         owner, first, low = owner[told], (at[told] - back[owner[told]]).astype(np.int32), low[told]
+        # neighbours of one snippet that the same smallest id has are one range
+        head = np.append(True, (np.diff(owner) != 0) | (np.diff(first) != 1) | (np.diff(low) != 0))
+        last = first[np.append(head[1:], True)]
+        owner, first, low = owner[head], first[head], low[head]
         new = np.append(0, np.flatnonzero(np.diff(owner)) + 1)
         offsets = pa.array(np.append(new, len(owner)).astype(np.int32))
-        values = pa.StructArray.from_arrays([pa.array(first), pa.array(first), pa.array(low)], fields=list(_KIND.value_type))
+        values = pa.StructArray.from_arrays([pa.array(first), pa.array(last), pa.array(low)], fields=list(_KIND.value_type))
         yield pa.record_batch([pa.array(f[owner[new]]), pa.array(e[owner[new]]), pa.ListArray.from_arrays(offsets, values)], names=["f", "e", "windows"])
 
 

@@ -241,6 +241,34 @@ def test_vectors(spark):
         assert got[k] == (0, k, True if k is not None else None)
 
 
+def crowd(kind, n, d=48):
+    """Vectors with a common direction or in clusters, and a partner at a cosine of 0.955 for each twentieth."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "direction":
+        x = unit(np.sqrt(0.84) * unit(rng.normal(size=(1, d))) + np.sqrt(0.16) * unit(rng.normal(size=(n, d))))
+    else:
+        x = unit(unit(rng.normal(size=(12, d)))[rng.integers(0, 12, n)] + 0.45 * unit(rng.normal(size=(n, d))))
+    k = n // 20
+    side = rng.normal(size=(k, d))
+    side = unit(side - (side * x[:k]).sum(axis=1, keepdims=True) * x[:k])
+    x[n - k :] = 0.955 * x[:k] + np.sqrt(1 - 0.955**2) * side
+    return x
+
+
+@pytest.mark.parametrize("kind", ["direction", "clusters"])
+@pytest.mark.parametrize("rows", [400, 100_000])
+def test_recall_on_crowded_vectors(spark, kind, rows, monkeypatch):
+    """Both ways of a large table (windows for what is sparse) and of a small one, against all pairs."""
+    monkeypatch.setattr(vectors, "ROWS", rows)
+    x = crowd(kind, 4000)
+    near = (x @ x.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= near).all() and near.sum() >= 400 and found.sum() >= 0.98 * near.sum()
+
+
 def test_vectors_in_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 7)
     rng = np.random.default_rng(1)
