@@ -222,11 +222,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def partitions_for(df_bytes: int, target: int = 64_000_000) -> int:
-    """Partitions that keep each near ``target`` bytes."""
-    return max(1, -(-df_bytes // target))
-
-
 def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of undirected edges and of each the smallest node it is joined with: hooking and pointer jumping."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)

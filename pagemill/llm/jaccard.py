@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.anchors import BASE1, BASE2, NO_ID, Sums, _BYTES, word_bounds
-from pagemill.llm.common import components, input_bytes, materialise, mix, pieces, runs, tags, task
+from pagemill.llm.common import components, discard, input_bytes, materialise, mix, pieces, runs, tags, task
 
 SHINGLE, THRESHOLD = 3, Fraction(9, 10)
 #: Counters of the frequency sketch, bits of a set's bitmap, members of a chunk of a group, bytes of a step.
@@ -380,6 +380,7 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     dealt = materialise(reps.select("id", "n", "prefix").mapInArrow(lambda it: _tokens(it, buckets), "bucket int, packed binary, grp long, id long, n int"), "tokens")
     ordinary = dealt.where("bucket >= 0").select("bucket", "packed").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "grp long, id long, n int")
     groups = materialise(ordinary.unionByName(dealt.where("bucket < 0").select("grp", "id", "n")).distinct(), "groups")
+    discard(dealt)
     p, q = threshold.numerator, threshold.denominator
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(q / p))).cast("int")
     banded = groups.withColumn("band", band)
@@ -404,6 +405,8 @@ def _linked(df: DataFrame, id_col: str, text_col: str, width: int, threshold: Fr
     # every pair that may be linked is inside one cluster of allowed pairs, so each set's text is fetched once
     clusters = components(allowed, "clusters").withColumnRenamed("node", "id").withColumnRenamed("component", "cluster").join(marks.select("id", "n", "doc", "tag"), "id")
     clusters = materialise(clusters, "clusters")
+    for done in (groups, star, allowed):
+        discard(done)
     links = materialise(verified(clusters, docs, width, threshold), "links")
     final = components(links, "final")
     reps = classes.select("id", F.struct(F.col("doc").alias("id"), "tag").alias("rep"))
