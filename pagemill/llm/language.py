@@ -24,6 +24,8 @@ SAMPLE_ROWS, SAMPLE_WINDOWS = 4_000, 3
 UNDETERMINED = "und"
 #: Invented texts without a language for each labelled one, in the model that rejects.
 NEGATIVES = 0.5
+#: What it takes to be rejected: letters, and the score of having no language.
+LEAST_LETTERS, SURE = 100, 0.9
 # First and last letters of scripts that texts without a known language are invented from.
 SCRIPTS = {"Greek": (0x3B1, 0x3C9), "Cyrillic": (0x430, 0x44F), "Armenian": (0x561, 0x586), "Hebrew": (0x5D0, 0x5EA), "Arabic": (0x621, 0x64A), "Devanagari": (0x905, 0x939), "Bengali": (0x985, 0x9B9), "Thai": (0xE01, 0xE30), "Georgian": (0x10D0, 0x10F0), "Hiragana": (0x3042, 0x3093), "Han": (0x4E00, 0x9FA5), "Hangul": (0xAC00, 0xD7A3)}
 LETTER = regex.compile(r"\p{L}")
@@ -224,15 +226,22 @@ def keep_identified(df: DataFrame, model: ByteCNN | None = None, id_col: str = "
     """The rows, all columns as they are, whose text has a language.
 
     Without ``model`` one is trained that also knows texts of no language (shuffled letters, code, unknown scripts);
-    a text goes where that class, ``und``, is the likeliest over its whole length, and so does one that is null or
-    has no letters. With nothing labelled there is no model and every text goes; ties go to the first class in
+    a text of LEAST_LETTERS letters or more goes where that class, ``und``, has a score of at least SURE over its whole
+    length: a short one full of numbers and names says too little. A null or letterless text goes. With nothing labelled there is no model and every text goes; ties go to the first class in
     order; repeated rows are judged each for itself; an empty table stays empty. Narrow: no shuffle.
     """
     model = model or fit(df, id_col, text_col, lang_col, rejecting=True)
 
+    def stays(lang: str, score: float, text: pa.Scalar) -> bool:
+        if lang != UNDETERMINED or model is None:
+            return lang != UNDETERMINED
+        letters = len(LETTER.findall(text.as_py() or ""))
+        return 0 < letters and (letters < LEAST_LETTERS or score < SURE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, langs, _ in _predictions(batches, model, text_col):
-            yield part.filter(pa.array([lang != UNDETERMINED for lang in langs], pa.bool_()))
+        for part, langs, scores in _predictions(batches, model, text_col):
+            texts = part.column(part.schema.get_field_index(text_col))
+            yield part.filter(pa.array([stays(*x) for x in zip(langs, scores.tolist(), texts, strict=True)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
