@@ -163,7 +163,7 @@ def _join(parts: list[Rows]) -> Rows:
 
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes: the high bytes of small numbers then compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _from_planes(raw: bytes, at: int, n: int, kind: type) -> np.ndarray:

@@ -284,3 +284,33 @@ def test_empty_tables(empty, run):
 
 def test_no_vectors(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("run", [suffixarray.without_repeats, suffixarray.dedup_bytes, suffixtree.dedup_words])
+def test_buckets_with_nothing_but_markers(spark, monkeypatch, run):
+    """A task's last step holds few rows and the many buckets of a large table hardly any: what repeats in the step then
+    sends a bucket a marker alone, which has no positions. Two steps a task here, the second of one copied text."""
+    rng = random.Random(21)
+    long, copied = (" ".join(f"z{rng.randrange(10**6)}" for _ in range(n)) for n in (300, 90))
+    rows = [(1, long), (2, copied), (3, copied), (4, long[500:1500] + " end")]
+    monkeypatch.setattr(anchors, "FLUSH", 10)
+    monkeypatch.setattr(anchors, "STEP", 1500)
+    monkeypatch.setattr(anchors, "input_bytes", lambda df: 4_000_000 * 60)
+    got = run(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    if run is suffixarray.without_repeats:
+        want = Counter((i, h) for i, *_, h in removed_bytes(rows, 200))
+        assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in got) == want
+    elif run is suffixarray.dedup_bytes:
+        assert Counter(tuple(r)[:5] for r in got) == removed_bytes(rows, 200)
+    else:
+        assert Counter(tuple(r)[:4] for r in got) == removed_words(rows, 13)
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5):
+        for most in (0, 3):
+            count = rng.integers(0, most + 1, n).astype(np.int32)
+            rows = {k: rng.integers(0, 1 << 30, n).astype(t) for k, t in anchors._FIELDS} | {"count": count, "positions": rng.integers(0, 1 << 40, int(count.sum()))}
+            back = anchors._unpack(anchors._pack(rows))
+            assert back.keys() == rows.keys() and all(back[k].dtype == rows[k].dtype and back[k].tolist() == rows[k].tolist() for k in rows)
