@@ -242,10 +242,13 @@ def _flush(parts: list[Rows], buckets: int, turn: int, across: bool) -> Iterator
     bucket = (rows["f"][sent] >> np.uint64(20)) % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     sent, bucket = sent[by], bucket[by]
+    # taken once and then sliced: a large table has many buckets, and each would else look at the whole step
+    rows = _take(rows, sent)
+    place = np.append(0, np.cumsum(rows["count"], dtype=np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
-            yield int(bucket[a]), False, _pack(_take(rows, sent[a:b]))
+            yield int(bucket[a]), False, _pack({k: rows[k][a:b] for k, _ in _FIELDS} | {"positions": rows["positions"][place[a] : place[b]]})
 
 
 @task("anchors")
